@@ -72,7 +72,7 @@ def exact_duplicates(docs: DataFrame, work: Work) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs (doc_id, text)."""
     signed = work.save(with_recipes(docs), "recipes")
     chunks = signed.select("rid", F.posexplode("raw").alias("pos", "c")).select("rid", "pos", "c.id", "c.sha")
-    store = verified_identifiers(chunks)
+    store = work.save(verified_identifiers(chunks), "store")
     lists = (
         chunks.join(store, ["id", "sha"])
         .groupBy("rid")
@@ -83,9 +83,13 @@ def exact_duplicates(docs: DataFrame, work: Work) -> DataFrame:
     rows = work.save(
         signed.drop("raw").join(lists, "rid", "left").withColumn("recipe", F.coalesce("recipe", nothing)), "lists"
     )
-    groups = rows.groupBy("recipe").agg(
-        F.count(F.lit(1)).alias("group_size"),
-        F.min(F.struct((-F.col("n_code")).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("id"), F.col("rid").alias("rid"))).alias("best"),
+    # Written before the join: the plain exchanges that the join then has can be split where a group is large.
+    groups = work.save(
+        rows.groupBy("recipe").agg(
+            F.count(F.lit(1)).alias("group_size"),
+            F.min(F.struct((-F.col("n_code")).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("id"), F.col("rid").alias("rid"))).alias("best"),
+        ),
+        "groups",
     )
     return rows.join(groups, "recipe").select(
         "doc_id",

@@ -65,7 +65,8 @@ def lost_chunks(docs: DataFrame, work: Work, min_lines: int = MIN_LINES) -> Data
         chunk_rows(keyed, "doc_id", "fp").where(F.col("solid") >= min_lines).select("doc_id", "fp", "no", F.xxhash64("body").alias("hash")).distinct(),
         "marks",
     )
-    again = marks.groupBy("hash").count().where("count > 1").select("hash")
+    # Aggregates are written before they are joined: the join's exchanges can then be split where a key is hot.
+    again = work.save(marks.groupBy("hash").count().where("count > 1").select("hash"), "again")
     wanted = marks.join(again, "hash").groupBy("doc_id", "fp").agg(F.collect_set("no").alias("nos"))
     same = [F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")), F.col("d.fp") == F.col("w.fp")]
     found = keyed.alias("d").join(wanted.alias("w"), same).select("d.doc_id", "d.fp", "d.text", "w.nos")
@@ -73,7 +74,7 @@ def lost_chunks(docs: DataFrame, work: Work, min_lines: int = MIN_LINES) -> Data
         chunk_rows(found, "doc_id", "fp", "nos").where(F.array_contains("nos", F.col("no"))).select("doc_id", "fp", "no", "body"), "bodies"
     )
     # The byte comparison: places are grouped by the chunk's text itself, not by its hash.
-    firsts = bodies.groupBy("body").agg(F.min(_place()).alias("first"))
+    firsts = work.save(bodies.groupBy("body").agg(F.min(_place()).alias("first")), "firsts")
     return (
         bodies.join(firsts, "body").where(_place() != F.col("first")).groupBy("doc_id", "fp").agg(F.collect_set("no").alias("gone"))
     )
@@ -107,13 +108,13 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: chunks: doc_id, no, c (lines); left_over: doc_id, no, c without what is removed.
 ORACLE_PARTS = r"""
 l AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM {docs} WHERE text IS NOT NULL),
-h AS (SELECT *, list_transform(lines, x -> md5(x)) AS h FROM l),
-e AS (SELECT *, list_filter(list_transform(range(1, len(h) + 1), k -> CASE WHEN k = len(h)
-        OR substr(md5(CASE WHEN k > 1 THEN h[k - 1] ELSE '' END || h[k]), 1, 1) < '{below}' THEN k ELSE -1 END), k -> k > 0) AS ends FROM h),
+h AS (SELECT *, list_transform(lines, lambda x: md5(x)) AS h FROM l),
+e AS (SELECT *, list_filter(list_transform(range(1, len(h) + 1), lambda k: CASE WHEN k = len(h)
+        OR substr(md5(CASE WHEN k > 1 THEN h[k - 1] ELSE '' END || h[k]), 1, 1) < '{below}' THEN k ELSE -1 END), lambda k: k > 0) AS ends FROM h),
 c AS (SELECT doc_id, k AS no, lines[(CASE WHEN k = 1 THEN 0 ELSE ends[k - 1] END) + 1 : ends[k]] AS c
       FROM (SELECT *, unnest(range(1, len(ends) + 1)) AS k FROM e)),
 m AS (SELECT *, array_to_string(c, chr(10)) AS body,
-             len(list_filter(c, x -> regexp_matches(x, '[^\x20\x09-\x0D]'))) >= {least} AS solid FROM c),
+             len(list_filter(c, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) >= {least} AS solid FROM c),
 g AS (SELECT *, solid AND row_number() OVER (PARTITION BY body ORDER BY doc_id NULLS LAST, no) > 1 AS gone FROM m)"""
 ORACLE = (
     "WITH "
