@@ -25,6 +25,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import Work, read_table
 
@@ -179,14 +180,14 @@ def host_templates(pages: DataFrame, work: Work, min_pages: int = MIN_PAGES, sha
     return work.save(many.groupBy("host").agg(F.sort_array(F.collect_list("hash")).alias("hashes")), "templates")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def article_text(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for sources, templates in batches:
         out = [Page(s or "", frozenset(t.tolist()) if t is not None else frozenset()).text() for s, t in zip(sources, templates, strict=True)]
         yield pd.Series(out, index=sources.index)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def host_column(urls: pd.Series) -> pd.Series:
     return urls.map(host_of)
 
