@@ -85,7 +85,7 @@ g AS (
 o AS (SELECT *, sum(length(head) + length(body) + 1) OVER w - length(head) - length(body) - 1 AS at FROM g
       WINDOW w AS (PARTITION BY conv_id, perspective, part ORDER BY turn NULLS FIRST, speaker, said ROWS UNBOUNDED PRECEDING))
 SELECT conv_id, perspective, part, count(*) AS n_turns,
-       string_agg(head || body || chr(10), '' ORDER BY at) AS text,
+       array_to_string(list(head || body || chr(10) ORDER BY at), '') AS text,
        coalesce(list((at + length(head))::BIGINT ORDER BY at) FILTER (own), []) AS mask_starts,
        coalesce(list((at + length(head) + length(body))::BIGINT ORDER BY at) FILTER (own), []) AS mask_ends
 FROM o GROUP BY conv_id, perspective, part

@@ -49,7 +49,9 @@ def with_chunks(docs: DataFrame, boundary_below: str = BOUNDARY_BELOW) -> DataFr
 
 def chunk_rows(docs: DataFrame, *keep: str) -> DataFrame:
     """A row for each chunk: keep, no, solid (lines that aren't blank), body."""
-    rows = with_chunks(docs).select(*keep, F.posexplode("__chunks").alias("no", "c"))
+    # Outer: an inner explode infers a filter on the array, which would be pushed below, with all that makes the
+    # array written out again inside its own lambdas.
+    rows = with_chunks(docs).select(*keep, F.posexplode_outer("__chunks").alias("no", "c")).where("c IS NOT NULL")
     solid = F.size(F.filter("c", lambda x: x.rlike(WORD_PATTERN)))
     return rows.select(*keep, "no", solid.alias("solid"), F.array_join("c", "\n").alias("body"))
 
