@@ -82,11 +82,11 @@ g AS (
          '<|im_start|>' || CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN speaker ELSE 'user name=' || speaker END || chr(10) AS head,
          said || '<|im_end|>' AS body
   FROM s JOIN p ON s.conv_id IS NOT DISTINCT FROM p.conv_id),
-o AS (SELECT *, sum(length(head) + length(body) + 1) OVER w - length(head) - length(body) - 1 AS at FROM g
+o AS (SELECT *, sum(length(head) + length(body) + 1) OVER w - length(head) - length(body) - 1 AS spot FROM g
       WINDOW w AS (PARTITION BY conv_id, perspective, part ORDER BY turn NULLS FIRST, speaker, said ROWS UNBOUNDED PRECEDING))
 SELECT conv_id, perspective, part, count(*) AS n_turns,
-       array_to_string(list(head || body || chr(10) ORDER BY at), '') AS text,
-       coalesce(list((at + length(head))::BIGINT ORDER BY at) FILTER (own), []) AS mask_starts,
-       coalesce(list((at + length(head) + length(body))::BIGINT ORDER BY at) FILTER (own), []) AS mask_ends
+       array_to_string(list(head || body || chr(10) ORDER BY spot), '') AS text,
+       coalesce(list((spot + length(head))::BIGINT ORDER BY spot) FILTER (own), []) AS mask_starts,
+       coalesce(list((spot + length(head) + length(body))::BIGINT ORDER BY spot) FILTER (own), []) AS mask_ends
 FROM o GROUP BY conv_id, perspective, part
 """

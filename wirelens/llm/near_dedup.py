@@ -7,8 +7,9 @@ signatures are compared 16 hashes at a time, and the pair is dropped as soon as
 it reaches the threshold (uniform prior) is below MISS; what survives is verified on the full shingle sets.
 
 A bucket of many members isn't expanded into all its pairs. First every member is compared with the bucket's
-centre, the member that shares the largest buckets; a group of copies becomes one component that way. Then
-only those members of a bucket are compared that aren't connected yet, so that no link between components is lost.
+centre, the member that shares the largest buckets, then with a random member; a group of copies becomes one
+component that way. At last the members of a bucket that still aren't connected are compared in tiles, in memory,
+so that no link between components is lost, and only the pairs that the comparison lets through become rows.
 
 Edge cases: a text with fewer words than a shingle is one shingle; one without words, empty or null, has no
 shingles and is linked with nothing. A null doc_id is an unnamed document: it may join a component, and its own
@@ -39,6 +40,10 @@ PERCENT = 75
 MISS = 1e-6
 #: Ids that may be broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 500_000
+#: Rounds in which a bucket's members are compared with one of them.
+STARS = 3
+#: Members of a bucket that are compared with each other within one task.
+TILE = 1024
 #: Unnamed documents are keyed from here on.
 UNNAMED = 1 << 62
 
@@ -121,16 +126,9 @@ def members(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, "key", "left_semi")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, work: Work) -> DataFrame:
-    """The pairs (a, b) of class keys that reach the threshold: sequential comparison, then full sets."""
-    sig = classes.select("rep", "sig")
-    signed = pairs.join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a").join(
-        sig.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b"
-    )
-    left = work.save(signed.select("a", "b", "sig_a", "sig_b").mapInPandas(_survivors, "a long, b long"), "survivors")
-    ids = work.save(left.select(F.col("a").alias("key")).union(left.select("b")).distinct(), "ids")
-    sets = work.save(members(docs, ids).mapInPandas(_sets, "key long, items array<long>"), "sets")
-    both = left.join(sets.select(F.col("key").alias("a"), F.col("items").alias("items_a")), "a").join(
+def verified(pairs: DataFrame, sets: DataFrame, work: Work) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold."""
+    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("items").alias("items_a")), "a").join(
         sets.select(F.col("key").alias("b"), F.col("items").alias("items_b")), "b"
     )
     shared = both.withColumn("i", F.size(F.array_intersect("items_a", "items_b")).cast("long")).withColumn(
@@ -139,10 +137,90 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, work: Work)
     return work.save(shared.where(F.col("i") * 100 >= F.col("u") * PERCENT).select("a", "b").distinct(), "links")
 
 
+def compared(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that the sequential comparison of their signatures lets through."""
+    signed = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a").join(
+        sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b"
+    )
+    return signed.select("a", "b", "sig_a", "sig_b").mapInPandas(_survivors, "a long, b long")
+
+
+def _tile_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (bucket, i, j, t, band, rep, comp, sig), sorted by tile: the tile's pairs of different components, compared.
+
+    A pair that shares several bands is looked at in the first of them only.
+    """
+    least = least_matches()
+    held: list[pd.DataFrame] = []
+    key = None
+
+    def tile(rows: pd.DataFrame) -> pd.DataFrame | None:
+        t, i, j, band = rows["t"].to_numpy(), rows["i"].iloc[0], rows["j"].iloc[0], int(rows["band"].iloc[0])
+        rep, comp, sig = rows["rep"].to_numpy(), rows["comp"].to_numpy(), np.stack(rows["sig"].to_numpy())
+        left, right = np.flatnonzero(t == i), np.flatnonzero(t == j)
+        out = []
+        for low in range(0, len(left), 64):
+            some = left[low : low + 64]
+            ok = comp[some][:, None] != comp[right][None, :]
+            if i == j:
+                ok &= rep[some][:, None] < rep[right][None, :]
+            x, y = np.nonzero(ok)
+            x, y = some[x], right[y]
+            matches = np.zeros(len(x), int)
+            for k, need in enumerate(least):
+                if not len(x):
+                    break
+                part = slice(k * STEP, (k + 1) * STEP)
+                same = sig[x, part] == sig[y, part]
+                matches = matches + same.sum(axis=1)
+                stay = matches >= need
+                for g in range(STEP // ROWS):  # a band before this one that they share
+                    if k * (STEP // ROWS) + g < band:
+                        stay &= ~same[:, g * ROWS : (g + 1) * ROWS].all(axis=1)
+                x, y, matches = x[stay], y[stay], matches[stay]
+            if len(x):
+                out.append(pd.DataFrame({"a": np.minimum(rep[x], rep[y]), "b": np.maximum(rep[x], rep[y])}))
+        return pd.concat(out) if out else None
+
+    for pdf in batches:
+        keys = list(zip(pdf["bucket"], pdf["i"], pdf["j"], strict=True))
+        cuts = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            if low == high:
+                continue
+            if keys[low] != key and held:
+                if (found := tile(pd.concat(held) if len(held) > 1 else held[0])) is not None:
+                    yield found
+                held = []
+            key = keys[low]
+            held.append(pdf.iloc[low:high])
+    if held and (found := tile(pd.concat(held) if len(held) > 1 else held[0])) is not None:
+        yield found
+
+
+def unconnected_pairs(rows: DataFrame, sigs: DataFrame, tile: int = TILE) -> DataFrame:
+    """The compared pairs (a, b) of rows(bucket, band, rep, comp, size) that share a bucket and no component.
+
+    A bucket is cut into tiles of `tile` members; every two tiles meet in one task, where their pairs are looked at in
+    memory. Only what the comparison lets through becomes a row.
+    """
+    cells = F.ceil(F.col("size") / tile)
+    placed = rows.withColumn("t", F.pmod(F.xxhash64("rep"), cells)).withColumn("o", F.explode(F.sequence(F.lit(0), cells.cast("int") - 1)))
+    tiles = placed.select("bucket", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", "band", "rep", "comp")
+    return (
+        tiles.join(sigs, "rep")
+        .select("bucket", "i", "j", "t", "band", "rep", "comp", "sig")
+        .repartition("bucket", "i", "j")
+        .sortWithinPartitions("bucket", "i", "j")
+        .mapInPandas(_tile_pairs, "a long, b long")
+    )
+
+
 def without_members(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose key isn't in ids (key): by broadcast below a checked count, else by a shuffle."""
+    """The rows of docs whose node_key() isn't in ids (key): by broadcast below a checked count, else by a shuffle."""
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "key", "left_anti")
+    gone = ids.select(F.col("key").alias("__key"))
+    return docs.withColumn("__key", node_key()).join(F.broadcast(gone) if few else gone, "__key", "left_anti").drop("__key")
 
 
 def near_duplicates(docs: DataFrame, work: Work, by_key: bool = False) -> DataFrame:
@@ -153,30 +231,33 @@ def near_duplicates(docs: DataFrame, work: Work, by_key: bool = False) -> DataFr
         rows.where("n > 0").groupBy("fp_a", "fp_b", "n").agg(F.min("key").alias("rep"), F.first("sig").alias("sig")), "classes"
     )
     bands = classes.select(
-        "rep", F.explode(F.expr(f"transform(sequence(0, {HASHES // ROWS - 1}), b -> xxhash64(b, slice(sig, b * {ROWS} + 1, {ROWS})))")).alias("bucket")
+        "rep", F.posexplode_outer(F.expr(f"transform(sequence(0, {HASHES // ROWS - 1}), b -> xxhash64(b, slice(sig, b * {ROWS} + 1, {ROWS})))")).alias("band", "bucket")
     )
     # Aggregates are written before they are joined: the join's exchanges can then be split where a key is hot.
     sizes = work.save(bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
     places = work.save(bands.join(sizes, "bucket"), "buckets")
-    weights = places.groupBy("rep").agg(F.sum("size").alias("weight"))
-    centres = places.join(weights, "rep").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"))).alias("m"))
-    centres = work.save(centres.select("bucket", (-F.col("m.minus")).alias("centre")), "centres")
-    placed = work.save(places.join(centres, "bucket"), "placed")
-    pair = [F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")]
-    star = verified(placed.where("rep <> centre").select(*pair).distinct(), classes, keyed, work)
-    known = components(star, work)
-    # What is left: members of one bucket that aren't connected yet.
-    open_places = (
-        placed.where("size > 2")
-        .join(known, F.col("rep") == F.col("node"), "left")
-        .select("bucket", "rep", "centre", F.coalesce("comp", "rep").alias("comp"))
-    )
-    split = work.save(open_places.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bucket"), "split")
-    rest = work.save(open_places.join(split, "bucket").where("rep <> centre"), "open")
-    x, y = rest.alias("x"), rest.alias("y")
-    more = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp")))
-    across = verified(more.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), classes, keyed, work)
-    final = components(star.unionByName(across), work)
+    weights = work.save(places.groupBy("rep").agg(F.sum("size").alias("weight")), "weights")
+    sigs = work.save(classes.join(weights, "rep").select("rep", "sig"), "signed")
+    sets = work.save(members(keyed, weights.select(F.col("rep").alias("key"))).mapInPandas(_sets, "key long, items array<long>"), "sets")
+    links = known = None
+    open_places = places.withColumn("comp", F.col("rep"))
+    for turn in range(STARS):
+        # Who is the bucket's centre: first the member that shares the largest buckets, then any one.
+        ranked = open_places.join(weights, "rep") if turn == 0 else open_places.withColumn("weight", F.xxhash64("bucket", "rep", F.lit(turn)))
+        centres = work.save(ranked.groupBy("bucket").agg(F.max(F.struct("weight", "rep", "comp")).alias("m")), "centres")
+        star = open_places.join(centres, "bucket").where(F.col("comp") != F.col("m.comp"))
+        pairs = star.select(F.least("rep", "m.rep").alias("a"), F.greatest("rep", "m.rep").alias("b")).distinct()
+        found = verified(work.save(compared(pairs, sigs), "survivors"), sets, work)
+        links = found if links is None else links.unionByName(found)
+        known = components(links, work)
+        labelled = places.where("size > 2").join(known, F.col("rep") == F.col("node"), "left").select("bucket", "band", "rep", "size", F.coalesce("comp", "rep").alias("comp"))
+        split = labelled.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bucket")
+        open_places = work.save(labelled.join(work.save(split, "split"), "bucket"), "open")
+        if not open_places.limit(1).count():
+            break
+    # What is left: members of one bucket that still aren't connected.
+    across = verified(work.save(unconnected_pairs(open_places, sigs).distinct(), "survivors"), sets, work)
+    final = components(links.unionByName(across), work)
     reps = work.save(
         classes.join(final, F.col("rep") == F.col("node"), "left").select("fp_a", "fp_b", "n", F.coalesce("comp", "rep").alias("comp")), "labels"
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, exact_dedup, html_text, line_dedup, near_dedup, quality, source_mix, token_counts
+from . import chat_format, decontaminate, exact_dedup, html_text, line_dedup, near_dedup, quality, source_mix, suffix_dedup, token_counts
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_quality": quality.op5_quality,
         "op6_near_dedup": near_dedup.op6_near_dedup,
         "op7_source_mix": source_mix.op7_source_mix,
+        "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
