@@ -318,7 +318,7 @@ def truncate_symbol(name: Column, limit: int = 120) -> Column:
 
 def c_string(b: Column) -> Column:
     """Text up to the first NUL of a binary path."""
-    return F.split_part(F.decode(b, "UTF-8"), F.lit("\0"), F.lit(1))
+    return F.split_part(F.make_valid_utf8(b.cast("string")), F.lit("\0"), F.lit(1))
 
 
 def basename(path: Column) -> Column:
