@@ -36,11 +36,13 @@ from .shingles import batch_word_hashes, mixed
 
 MAX_EDIT = 0.2
 MIN_WORDS = 6
-WALKS = 8
-TABLES = 5
+WALKS = 4
+TABLES = 10
 DRAWS = 4
 ITEM_BLOCK = 20_000
 PAIR_BITS = 22
+#: Words that are searched at once.
+BATCH_WORDS = 1 << 18
 GRID = [6, 8, 10, 12, 14, 16, 20, 24, 28, 32, 40, 48, 56, 64, 80, 96, 128, 192, 256]
 
 _PLAIN = bytes(ord(" ") if chr(c) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else c for c in range(256))
@@ -55,18 +57,29 @@ def allowed_edits(words: int, rate: float = MAX_EDIT) -> int:
     return int(words * rate)
 
 
-def embed(words: np.ndarray, at: np.ndarray, size: int, walk: int, steps: int) -> np.ndarray:
+def step_bits(words: np.ndarray, walk: int, part: int) -> np.ndarray:
+    """64 random bits of (walk, word) for 64 steps of the walk."""
+    return mixed(words + np.uint64(((walk * 8 + part + 1) * 0x632BE59BD9B4E019) & (2**64 - 1)))
+
+
+def embed(words: np.ndarray, at: np.ndarray, size: int, walk: int, cache: dict) -> np.ndarray:
     """The first steps of the embeddings of the windows words[at : at + size], as positions x windows."""
-    out = np.zeros((steps, len(at)), np.uint64)
-    inside = np.zeros(len(at), np.int64)
-    scrambled = None
+    steps = size + size // 2
+    out = np.empty((steps, len(at)), np.uint64)
+    here = at.copy()
     for step in range(steps):
-        if step % 64 == 0:  # 64 random bits of (walk, word) serve as many steps
-            scrambled = mixed(words + np.uint64(((walk * 8 + step // 64 + 1) * 0x632BE59BD9B4E019) & (2**64 - 1)))
-        live = inside < size
-        here = np.where(live, at + inside, 0)
-        out[step] = np.where(live, words[here], np.uint64(0))
-        inside += ((scrambled[here] >> np.uint64(step % 64)) & np.uint64(1)).astype(np.int64) * live
+        if step % 64 == 0:
+            if (walk, step // 64) not in cache:
+                cache[walk, step // 64] = step_bits(words, walk, step // 64)
+            bits = cache[walk, step // 64]
+        if step < size:  # no walk can be over yet
+            out[step] = words[here]
+            here += ((bits[here] >> np.uint64(step % 64)) & np.uint64(1)).astype(np.int64)
+        else:
+            live = here - at < size
+            now = np.where(live, here, 0)
+            out[step] = np.where(live, words[now], np.uint64(0))
+            here += ((bits[now] >> np.uint64(step % 64)) & np.uint64(1)).astype(np.int64) * live
     return out
 
 
@@ -101,6 +114,16 @@ def edit_distance(item: list[int], stretch: list[int]) -> int:
     return best
 
 
+def laid_out(texts: list[np.ndarray], gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words of many texts in one array, with `gap` zeros after each, and where each begins."""
+    lengths = np.array([len(t) + gap for t in texts], np.int64)
+    starts = np.cumsum(lengths) - lengths
+    flat = np.zeros(int(lengths.sum()), np.uint64)
+    for start, words in zip(starts.tolist(), texts, strict=True):
+        flat[start : start + len(words)] = words
+    return flat, starts
+
+
 class Index:
     """A block of items, ready to look windows up in."""
 
@@ -110,78 +133,87 @@ class Index:
         kept = [(i, h) for (i, _), h in zip(items, hashed, strict=True) if len(h) >= MIN_WORDS]
         self.ids = [i for i, _ in kept]
         self.words = [h.tolist() for _, h in kept]
-        pairs = [self.pair_cells(h) for _, h in kept]
+        lengths = np.array([len(h) for _, h in kept], np.int64)
+        self.gap = int(lengths.max() * 2) if len(kept) else 1
+        flat, starts = laid_out([h for _, h in kept], 1)
         self.known = np.zeros(1 << PAIR_BITS, bool)
-        for cells in pairs:
-            self.known[cells] = True
+        self.known[self.pair_cells(flat)[(flat[:-1] != 0) & (flat[1:] != 0)]] = True
         #: By window size: smallest and largest item, keys (sorted) with the item and how far in its window starts.
         self.sizes: dict[int, tuple[int, int, np.ndarray, np.ndarray, np.ndarray]] = {}
-        by_size: dict[int, list[int]] = {}
-        for k, (_, h) in enumerate(kept):
-            by_size.setdefault(max(g for g in GRID if g <= len(h)), []).append(k)
-        for size, group in by_size.items():
-            keys, item, shift = [], [], []
-            for k in group:
-                h = kept[k][1]
-                for at in sorted({0, len(h) - size}):
-                    got = np.concatenate([sampled_keys(embed(h, np.array([at]), size, w, 2 * size), size, w)[:, 0] for w in range(WALKS)])
-                    keys.append(got)
-                    item.append(np.full(len(got), k))
-                    shift.append(np.full(len(got), at))
-            keys, item, shift = np.concatenate(keys), np.concatenate(item), np.concatenate(shift)
+        grid = np.array(GRID)
+        size_of = grid[np.searchsorted(grid, lengths, "right") - 1]
+        cache: dict = {}
+        for size in np.unique(size_of).tolist():
+            group = np.flatnonzero(size_of == size)
+            rest = lengths[group] - size
+            item = np.concatenate([group, group[rest > 0]])
+            shift = np.concatenate([np.zeros(len(group), np.int64), rest[rest > 0]])
+            keys = np.concatenate([sampled_keys(embed(flat, starts[item] + shift, size, w, cache), size, w) for w in range(WALKS)])
+            item, shift = np.tile(item, len(keys)), np.tile(shift, len(keys))
+            keys = keys.ravel()
             order = np.argsort(keys, kind="stable")
-            lengths = [len(kept[k][1]) for k in group]
-            self.sizes[size] = (min(lengths), max(lengths), keys[order], item[order], shift[order])
+            self.sizes[size] = (int(lengths[group].min()), int(lengths[group].max()), keys[order], item[order], shift[order])
 
     @staticmethod
     def pair_cells(words: np.ndarray) -> np.ndarray:
         return (mixed(words[:-1] + words[1:] * np.uint64(3)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
 
-    def windows(self, known: np.ndarray, n: int, size: int, least: int, most: int) -> np.ndarray:
-        """Starts of the windows that can be an item's first or last words, by their known pairs."""
-        sums = np.concatenate([[0], np.cumsum(known)])
-        starts = np.arange(n - min(size, n) + 1)
-        need = least - 1 - 2 * allowed_edits(least, self.max_edit)
-        need = min(need, *(m - 1 - 2 * allowed_edits(m, self.max_edit) for m in range(least, most + 1)))
+    def windows(self, flat: np.ndarray, sums: np.ndarray, size: int, least: int, most: int) -> np.ndarray:
+        """Starts of the windows that can be an item's first or last words, by the known pairs around them."""
+        n = len(flat)
+        need = min(m - 1 - 2 * allowed_edits(m, self.max_edit) for m in range(least, most + 1))
         span = most + allowed_edits(most, self.max_edit)
-        hits_after = sums[np.minimum(starts + span, n - 1)] - sums[starts]
-        ends = starts + min(size, n)
-        hits_before = sums[np.minimum(ends - 1, n - 1)] - sums[np.maximum(ends - span, 0)]
-        return starts[(hits_after >= need) | (hits_before >= need)]
-
-    def hits(self, words: np.ndarray) -> dict[int, int]:
-        """item -> edit distance, for the items that the words leak."""
-        n, found = len(words), {}
-        if n < 2 or not self.ids:
-            return found
-        known = self.known[self.pair_cells(words)]
-        listed = None
+        wide = np.concatenate([np.zeros(span, np.int32), sums[:n], np.full(span + size, sums[-1], np.int32)])
+        here = wide[span : span + n]
+        after = wide[2 * span : 2 * span + n] - here
+        before = wide[span + size : span + size + n] - wide[size : size + n]
+        return np.flatnonzero(((after >= need) | (before >= need)) & (flat != 0))
+
+    def hits(self, texts: list[np.ndarray]) -> list[dict[int, int]]:
+        """For each text's words: item -> edit distance, for the items that it leaks."""
+        found: list[dict[int, int]] = [{} for _ in texts]
+        low = 0
+        while low < len(texts) and self.ids:
+            high, size = low, 0
+            while high < len(texts) and (high == low or size + len(texts[high]) + self.gap <= BATCH_WORDS):
+                size += len(texts[high]) + self.gap
+                high += 1
+            self._search(texts[low:high], found[low:high])
+            low = high
+        return found
+
+    def _search(self, texts: list[np.ndarray], found: list[dict[int, int]]) -> None:
+        flat, begin = laid_out(texts, self.gap)
+        known = self.known[self.pair_cells(flat)] & (flat[:-1] != 0) & (flat[1:] != 0)
+        sums = np.concatenate([[0], np.cumsum(known, dtype=np.int32)])
+        listed: dict[int, list[int]] = {}
         tried: set[tuple[int, int]] = set()
+        cache: dict = {}
         for size, (least, most, keys, items, shifts) in self.sizes.items():
-            if n < size - allowed_edits(most, self.max_edit):
-                continue
-            at = self.windows(known, n, size, least, most)
-            for low in range(0, len(at), 8192):
-                some = at[low : low + 8192]
+            at = self.windows(flat, sums, size, least, most)
+            for low in range(0, len(at), 1 << 15):
+                some = at[low : low + (1 << 15)]
                 for walk in range(WALKS):
-                    # A window at the text's end may be shorter than the item.
-                    embedding = embed(np.append(words, np.zeros(size, np.uint64)), some, size, walk, 2 * size)
-                    for row in sampled_keys(embedding, size, walk):
-                        first = np.searchsorted(keys, row, "left")
-                        last = np.searchsorted(keys, row, "right")
+                    for row in sampled_keys(embed(flat, some, size, walk, cache), size, walk):
+                        first, last = np.searchsorted(keys, row, "left"), np.searchsorted(keys, row, "right")
                         for j in np.flatnonzero(last > first).tolist():
                             for k in range(int(first[j]), int(last[j])):
                                 item, start = int(items[k]), int(some[j] - shifts[k])
-                                length = len(self.words[item])
-                                if (item, start // 4) in tried or item in found and found[item] == 0:
+                                if (item, start // 4) in tried:
                                     continue
                                 tried.add((item, start // 4))
-                                listed = words.tolist() if listed is None else listed
+                                doc = int(np.searchsorted(begin, some[j], "right")) - 1
+                                length = len(self.words[item])
+                                best = found[doc].get(item, allowed_edits(length, self.max_edit) + 1)
+                                if best == 0:
+                                    continue
+                                if doc not in listed:
+                                    listed[doc] = texts[doc].tolist()
                                 room = allowed_edits(length, self.max_edit) + 4
-                                d = edit_distance(self.words[item], listed[max(0, start - room) : max(0, start + length + room)])
-                                if d <= allowed_edits(length, self.max_edit) and d < found.get(item, length):
-                                    found[item] = d
-        return found
+                                start -= int(begin[doc])
+                                d = edit_distance(self.words[item], listed[doc][max(0, start - room) : max(0, start + length + room)])
+                                if d < best:
+                                    found[doc][item] = d
 
 
 def item_blocks(benchmark: DataFrame, block: int = ITEM_BLOCK):
@@ -203,8 +235,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block: int = ITEM_BLOCK) -> Dat
             ix = shared.value
             for pdf in batches:
                 rows = []
-                for doc_id, words in zip(pdf["doc_id"], batch_word_hashes([normalised(t) for t in pdf["text"]]), strict=True):
-                    rows += [(doc_id, ix.ids[k], d, len(ix.words[k])) for k, d in ix.hits(words).items()]
+                hits = ix.hits(batch_word_hashes([normalised(t) for t in pdf["text"]]))
+                for doc_id, found in zip(pdf["doc_id"], hits, strict=True):
+                    rows += [(doc_id, ix.ids[k], d, len(ix.words[k])) for k, d in found.items()]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "distance", "item_words"])
 
         return search
@@ -224,7 +257,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, block: int = ITEM_BLOCK
         def leaky(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             index = shared.value  # noqa: B023  (bound before the next block is built)
             for texts in batches:
-                yield pd.Series([bool(index.hits(w)) for w in batch_word_hashes([normalised(t) for t in texts])], index=texts.index, dtype=bool)
+                yield pd.Series([bool(h) for h in index.hits(batch_word_hashes([normalised(t) for t in texts]))], index=texts.index, dtype=bool)
 
         docs = docs.where(~leaky("text"))
     return docs
