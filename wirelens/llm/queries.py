@@ -24,6 +24,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_perspectives": chat_format.ORACLE,
         "op6_near_dedup": near_dedup.ORACLE,
+        "op7_source_mix": source_mix.ORACLE,
         "op9_line_dedup": line_dedup.ORACLE,
         "op10_exact_dedup": exact_dedup.ORACLE,
     }

@@ -198,3 +198,49 @@ def mix(docs: DataFrame, work: Work, block: int = BLOCK, cap: int = CAP) -> Data
 
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents"), Work(spark))
+
+
+def _rounds_sql() -> str:
+    """The rounds of the permutation, one CTE each: p0 has x, every next one the swapped x."""
+    draw = "('0x' || substr(md5({}), 1, 15))::BIGINT".format
+    parts = []
+    for r in range(1, ROUNDS + 1):
+        key = draw(f"'key|' || sno || '|' || turn || '|{r}'")
+        bit = draw(f"'bit|' || sno || '|' || turn || '|{r}|' || greatest(x, y)")
+        parts.append(
+            f"q{r} AS (SELECT *, (({key} - x) % blocks + blocks) % blocks AS y FROM p{r - 1}), "
+            f"p{r} AS (SELECT sno, blocks, turn, CASE WHEN {bit} % 2 = 1 THEN y ELSE x END AS x FROM q{r})"
+        )
+    return ",\n".join(parts)
+
+
+#: The same mix in plain SQL; a slot's rank among its source's slots is taken over all slots at once.
+ORACLE = rf"""
+WITH z AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM z GROUP BY source),
+n AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS sno, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM s),
+f AS (SELECT *, sum(source_size) OVER () - {CAP} * coalesce(sum(source_size) OVER b, 0) AS room, sum(weight) OVER () - coalesce(sum(weight) OVER b, 0) AS open
+      FROM n WINDOW b AS (ORDER BY source_size / weight::DOUBLE, sno ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+g AS (SELECT *, {CAP} * source_size::HUGEINT * open <= room::HUGEINT * weight AS is_full FROM f),
+v AS (SELECT first(room ORDER BY source_size / weight::DOUBLE, sno) AS room, first(open ORDER BY source_size / weight::DOUBLE, sno) AS open FROM g WHERE NOT is_full),
+t AS (SELECT g.source, source_size, sno, CASE WHEN is_full THEN ({CAP} * source_size)::DOUBLE ELSE weight * v.room::DOUBLE / v.open END AS target, ceil(source_size / {BLOCK}.0)::BIGINT AS blocks FROM g LEFT JOIN v ON true),
+u AS (SELECT *, least(round(target * blocks / greatest(source_size, 1))::BIGINT, {CAP} * blocks) AS quota FROM t),
+plan AS (SELECT *, sum(quota) OVER (ORDER BY sno) AS upto, sum(quota) OVER (ORDER BY sno) - quota AS low FROM u),
+w AS (SELECT sum(quota)::BIGINT AS n FROM plan),
+d AS (SELECT slot, ('0x' || substr(md5('draw|' || slot), 1, 15))::BIGINT % n AS point FROM w, (SELECT unnest(range(0, (SELECT n FROM w))) AS slot)),
+r AS (SELECT slot, sno, row_number() OVER (PARTITION BY sno ORDER BY slot) - 1 AS k FROM d JOIN plan ON point >= low AND point < upto),
+c AS (SELECT sno, count(*) AS drawn FROM r GROUP BY sno),
+b AS (SELECT plan.sno, quota, blocks, coalesce(drawn, 0) AS drawn, greatest(coalesce(drawn, 0) - quota, 0) AS over, greatest(quota - coalesce(drawn, 0), 0) AS under FROM plan LEFT JOIN c ON plan.sno = c.sno),
+a AS (SELECT *, sum(over) OVER (ORDER BY sno) - over AS over_low, sum(under) OVER (ORDER BY sno) AS under_upto, sum(under) OVER (ORDER BY sno) - under AS under_low FROM b),
+e AS (SELECT r.sno, k, quota, over_low + k - quota AS j FROM r JOIN a ON r.sno = a.sno),
+o AS (SELECT sno, k FROM e WHERE k < quota UNION ALL SELECT a.sno, a.drawn + e.j - a.under_low FROM e JOIN a ON e.k >= e.quota AND e.j >= a.under_low AND e.j < a.under_upto),
+p0 AS (SELECT o.sno, blocks, (k // blocks)::BIGINT AS turn, (k % blocks)::BIGINT AS x FROM o JOIN a ON o.sno = a.sno),
+{_rounds_sql()},
+m AS (SELECT sno, x AS block, count(*) AS times FROM p{ROUNDS} GROUP BY 1, 2),
+h AS (SELECT z.doc_id, sno, size, ('0x' || substr(md5('order|' || coalesce(z.doc_id::VARCHAR, '~')), 1, 15))::BIGINT AS h FROM z JOIN plan ON z.source IS NOT DISTINCT FROM plan.source),
+x AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY sno ORDER BY h % greatest(1, ceil((SELECT count(*) FROM z) / {BUCKET_ROWS}.0)::BIGINT), h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM h),
+i AS (SELECT *, unnest(range(off // {BLOCK}, (off + size - 1) // {BLOCK} + 1)) AS block FROM x WHERE size > 0),
+k AS (SELECT i.sno, i.off, i.doc_id, sum((least(off + size, (i.block + 1) * {BLOCK}) - greatest(off, i.block * {BLOCK})) * coalesce(times, 0)) AS taken FROM i LEFT JOIN m ON i.sno = m.sno AND i.block = m.block GROUP BY ALL)
+SELECT x.doc_id, x.size, source_size, target, coalesce(k.taken, 0)::BIGINT AS taken, plan.source
+FROM x JOIN plan ON x.sno = plan.sno LEFT JOIN k ON x.sno = k.sno AND x.off = k.off AND x.doc_id IS NOT DISTINCT FROM k.doc_id AND x.size > 0
+"""
