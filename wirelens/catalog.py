@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .config import DEFAULT, SECOND
 from .functions import scalars as S
 from .operators import aggregates as A
-from .operators import crosscheck, enrich, export, filters, genai, pairing, policy, promql, reassembly, sampling, wire
+from .operators import crosscheck, enrich, export, filters, genai, h2, pairing, policy, promql, reassembly, sampling, wire
 from .plans.messages import EXCHANGES_SQL, MESSAGES_SQL, epoch_ns, exchanges, messages, table
 from .sources import evlog
 
@@ -697,6 +697,92 @@ def token_agreement(spark, sf):
     return crosscheck.token_agreement(p, "seen", "told")
 
 
+@query(f"{M}, a AS (SELECT tgid, latency_ns, row_number() OVER (PARTITION BY tgid ORDER BY ts_ns) AS k FROM m WHERE event_type = 'view'), b AS (SELECT tgid, latency_ns, row_number() OVER (PARTITION BY tgid ORDER BY ts_ns) AS k FROM m WHERE event_type = 'click') SELECT a.tgid, a.latency_ns AS true_ns, b.latency_ns AS seen_ns FROM a JOIN b USING (tgid, k)")
+def truth_zip(spark, sf):
+    m = messages(spark, sf).select("tgid", "ts_ns", "latency_ns", "event_type")
+    side = lambda kind: m.where(F.col("event_type") == kind).drop("event_type")
+    return crosscheck.zip_rows(side("view"), side("click"), "tgid", "ts_ns").select("tgid", F.col("latency_ns").alias("true_ns"), F.col("r.latency_ns").alias("seen_ns"))
+
+
+@query(f"{M} SELECT round(max(abs((latency_ns + k) - latency_ns) / latency_ns::DOUBLE), 9) AS worst FROM m WHERE latency_ns > 0")
+def worst_relative_error(spark, sf):
+    p = messages(spark, sf).where("latency_ns > 0").select((F.col("latency_ns") + F.col("k")).alias("seen"), F.col("latency_ns").alias("told"))
+    return crosscheck.worst_relative_error(p, "seen", "told").select(F.round("worst", 9).alias("worst"))
+
+
+# --- gates, clocks, names -----------------------------------------------------------------------------------------
+
+
+@query(
+    f"""{M}, r AS (SELECT tgid, fd, seq, method IS NOT NULL AS magic, event_type = 'error' AS cleared FROM m),
+s AS (SELECT *, coalesce(last_value(CASE WHEN cleared THEN false WHEN magic THEN true END IGNORE NULLS) OVER (PARTITION BY tgid, fd ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS inflight FROM r)
+SELECT tgid, seq FROM s WHERE (magic OR inflight) AND NOT cleared"""
+)
+def emit_gate(spark, sf):
+    text = F.when(F.col("method").isNotNull(), F.concat("method", F.lit(" /"))).otherwise(F.lit("body"))
+    rows = messages(spark, sf).select("tgid", "fd", "seq", text.alias("text"), (F.col("event_type") == "error").alias("cleared"))
+    return filters.emit_gate(rows).select("tgid", "seq")
+
+
+@query(f"{M}, t AS (SELECT DISTINCT tgid FROM m WHERE event_type = 'signup' AND k % 5 = 0) SELECT CASE WHEN tgid IN (SELECT tgid FROM t) THEN 'times' ELSE 'content' END AS stream, count(*) AS n FROM m WHERE tgid NOT IN (SELECT tgid FROM t) OR k - 20 > 0 GROUP BY 1")
+def tls_split(spark, sf):
+    m = messages(spark, sf).withColumn("ret", (F.col("k") - 20).cast("long"))
+    content, times = filters.split_tls(m, m.where("event_type = 'signup' AND k % 5 = 0"))
+    named = content.select(F.lit("content").alias("stream")).unionByName(times.select(F.lit("times").alias("stream")))
+    return A.outcome_counts(named, "stream")
+
+
+@query(f"{M}, b AS (SELECT tgid AS conn, seq, ts_ns, event_type = 'signup' AS is_bind FROM m), f AS (SELECT *, max(is_bind::INT) OVER (PARTITION BY conn ORDER BY ts_ns, seq ROWS UNBOUNDED PRECEDING) AS known FROM b) SELECT DISTINCT conn FROM f WHERE NOT is_bind AND known = 0")
+def unmapped_connections(spark, sf):
+    m = messages(spark, sf).select(F.col("tgid").alias("conn"), "seq", "ts_ns", F.col("k").alias("fd"), (F.col("event_type") == "signup").alias("is_bind"))
+    return pairing.unmapped_connections(m)
+
+
+@query(f"{M}, p AS (SELECT c_custkey AS tgid, CASE WHEN c_custkey % 4 <> 0 THEN c_mktsegment ELSE '' END AS comm FROM customer) SELECT seq, m.tgid, coalesce(nullif(a.comm, ''), nullif(b.comm, ''), '') AS comm FROM m LEFT JOIN p a ON a.tgid = m.tgid LEFT JOIN p b ON b.tgid = k")
+def comm_lookup(spark, sf):
+    c = F.col("c_custkey")
+    procs = table(spark, sf, "customer").select(c.alias("tgid"), F.when(c % 4 != 0, F.col("c_mktsegment")).otherwise("").alias("comm"))
+    return enrich.comm_of(messages(spark, sf).select("seq", "tgid", F.col("k").cast("long").alias("pid")), procs).select("seq", "tgid", "comm")
+
+
+@query("SELECT c_custkey AS pid, c_mktsegment AS comm FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 3 <> 0")
+def process_leaders(spark, sf):
+    c = F.col("c_custkey")
+    procs = table(spark, sf, "customer").select(c.alias("pid"), F.when(c % 2 == 0, c).otherwise(c - 1).alias("tgid"), F.when(c % 3 != 0, F.col("c_mktsegment")).otherwise("").alias("comm"))
+    return enrich.leaders(procs).select("pid", "comm")
+
+
+@query(f"{X} SELECT seq, greatest(t_end_ns - latency_ns, 0) AS start_ns, t_end_ns AS end_ns, t_end_ns - greatest({WEEK} + k2 - (latency_ns + k2), 0) AS call_end_ns FROM (SELECT *, stream_id AS k2 FROM x)")
+def wall_clock(spark, sf):
+    k = F.col("stream_id").cast("long")
+    plain = S.unix_range(F.col("latency_ns"), F.col("t_end_ns"))
+    call = S.unix_range_of_call(k, F.col("latency_ns"), k + WEEK, F.col("t_end_ns"))
+    return exchanges(spark, sf).select("seq", plain.alias("p"), call.alias("c")).select("seq", "p.start_ns", "p.end_ns", F.col("c.end_ns").alias("call_end_ns"))
+
+
+@query(f"{M}, v AS (SELECT src, list_sort(list(latency_ns)) AS s, count(*) AS n FROM m WHERE latency_ns > 0 GROUP BY src) SELECT src, s[round((n - 1) * 0.5)::INT + 1] AS p50_ns FROM v")
+def handshake_p50(spark, sf):
+    return messages(spark, sf).where("latency_ns > 0").groupBy("src").agg(A.sorted_index("latency_ns", "round", 0.5).alias("p50_ns"))
+
+
+@query(f"{M} SELECT ts_ns - ts_ns % {3600 * SECOND} AS tick_ns, count(*) AS n FROM m GROUP BY 1 ORDER BY 1 DESC LIMIT 60")
+def sparkline(spark, sf):
+    return A.sparkline(messages(spark, sf), 60, 3600 * SECOND)
+
+
+@query("SELECT * FROM (VALUES ('http.client.duration', 'http_client_duration_milliseconds_bucket'), ('http.client.requests', 'http_client_requests_total'), ('service.edges', 'service_edges')) t(name, shown)")
+def exposition_names(spark, sf):
+    rows = [("http.client.duration", "histogram", "ms"), ("http.client.requests", "sum", "1"), ("service.edges", "gauge", "1")]
+    return spark.createDataFrame(rows, "name string, kind string, unit string").select("name", promql.exposition_name(F.col("name"), F.col("kind"), F.col("unit")).alias("shown"))
+
+
+@query(f"{M}, b AS (SELECT seq, '/users/1/items/' || k AS path FROM m WHERE tgid = 1) SELECT count(*) AS detected, 0::BIGINT AS missing, 0::BIGINT AS unexpected FROM b")
+def policy_gate(spark, sf):
+    ops = messages(spark, sf).select("seq", F.lit(1).alias("op"), "path")
+    found = policy.violations(ops, policy.rule_table(spark, "deny_open /users/1\n"))
+    return policy.gate(found, messages(spark, sf).where("tgid = 1").select("seq"))
+
+
 # --- documents ------------------------------------------------------------------------------------------------------
 
 
@@ -717,6 +803,23 @@ def otlp_traces_json(spark, sf):
     return export.traces_json(spans)
 
 
+@query()
+def h2_replay(spark, sf):
+    """HTTP/2 connections made of the messages: a preface, then a header frame for each half, by stream."""
+    k = F.col("k")
+    size = lambda n: evlog.little_endian(F.lit(0), 2) if n is None else F.concat(evlog.little_endian(F.lit(0), 2), evlog.little_endian(n, 1))
+    stream = F.concat(evlog.little_endian(F.lit(0), 3), evlog.little_endian(k * 2 + 1, 1))
+    path = F.encode("path", "ISO-8859-1")
+    block = F.when(F.col("method").isNotNull(), F.concat(F.when(F.col("method") == "GET", F.unhex(F.lit("8204"))).otherwise(F.unhex(F.lit("8304"))), evlog.little_endian(F.length(path), 1), path)).otherwise(
+        F.when(F.col("status") == 200, F.unhex(F.lit("88"))).when(F.col("status") == 404, F.unhex(F.lit("8d"))).otherwise(F.unhex(F.lit("8e")))
+    )
+    header = F.concat(size(F.length(block)), F.unhex(F.lit("0104")), stream, block)
+    m = messages(spark, sf)
+    chunks = m.select("tgid", "fd", F.col("ts_ns").alias("seq"), (F.col("seq") * 0 + F.col("ts_ns") / 1_000_000).cast("long").alias("ts_ns"), "dir", header.alias("prefix"), F.lit(False).alias("client_only"))
+    opened = m.groupBy("tgid", "fd").agg(F.min("ts_ns").alias("t")).select("tgid", "fd", (F.col("t") - 1).alias("seq"), (F.col("t") / 1_000_000).cast("long").alias("ts_ns"), F.lit("W").alias("dir"), F.encode(F.lit("PRI * HTTP/2.0\r\n\r\nSM\r\n\r\n"), "ISO-8859-1").alias("prefix"), F.lit(False).alias("client_only"))
+    return h2.h2_exchanges(chunks.unionByName(opened))
+
+
 @query()
 def replay_log(spark, sf):
     """The whole replay over records made of the messages: scan, decode, route, pair, report."""

@@ -323,3 +323,14 @@ def c_string(b: Column) -> Column:
 
 def basename(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
+
+
+def unix_range(latency_ns: Column, now_unix_ns: Column) -> Column:
+    """Start and end of an ordinary span that ends now."""
+    return F.struct(F.greatest(now_unix_ns - latency_ns, F.lit(0)).alias("start_ns"), now_unix_ns.alias("end_ns"))
+
+
+def unix_range_of_call(start_mono_ns: Column, total_ns: Column, now_mono_ns: Column, now_unix_ns: Column) -> Column:
+    """Start and end of a model call, which ended some monotonic time ago."""
+    end = now_unix_ns - F.greatest(now_mono_ns - (start_mono_ns + total_ns), F.lit(0))
+    return F.struct(F.greatest(end - total_ns, F.lit(0)).alias("start_ns"), end.alias("end_ns"))

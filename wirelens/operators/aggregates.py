@@ -165,3 +165,17 @@ def outcome_counts(rows: DataFrame, column: str) -> DataFrame:
 def top(df: DataFrame, n: int, *ties: str) -> DataFrame:
     """The n largest by count, ties by name (one bounded sort in each task, no total sort)."""
     return df.orderBy(F.desc("n"), *ties).limit(n)
+
+
+def sparkline(m: DataFrame, ticks: int = 60, tick_ns: int = SECOND) -> DataFrame:
+    """The newest ticks with events, with their counts."""
+    return tick_counts(m, tick_ns).orderBy(F.desc("tick_ns")).limit(ticks)
+
+
+def total_requests(series: DataFrame) -> DataFrame:
+    return series.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+
+
+def resource_use(samples: DataFrame) -> DataFrame:
+    """Mean CPU and largest memory of samples(cpu, rss)."""
+    return samples.agg(F.avg("cpu").alias("mean_cpu"), F.max("rss").alias("max_rss"))

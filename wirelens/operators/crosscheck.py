@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 GREEDY = "row_id long, span_id long"
 
@@ -63,6 +64,18 @@ def error_distribution(errors: DataFrame, value: str) -> DataFrame:
     return basic.crossJoin(value_at(a, 0.5, "p50")).crossJoin(value_at(a, 0.9, "p90"))  # one row each
 
 
+def zip_rows(left: DataFrame, right: DataFrame, key: str, order: str) -> DataFrame:
+    """The k-th row of each side within a key, side by side (right columns in r)."""
+    turn = F.row_number().over(Window.partitionBy(key).orderBy(order))
+    b = right.withColumn("__k", turn).select(F.col(key), "__k", F.struct(*[c for c in right.columns if c != key]).alias("r"))
+    return left.withColumn("__k", turn).join(b, [key, "__k"]).drop("__k")
+
+
+def read_steps(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
+    """The gateway's steps in order of time: an export, or its database through JDBC."""
+    return spark.read.format(fmt).options(**options).load(path).orderBy("ts")
+
+
 def token_agreement(pairs: DataFrame, seen: str, true: str) -> DataFrame:
     same = F.col(seen).eqNullSafe(F.col(true))
     return pairs.agg(

@@ -86,3 +86,18 @@ def self_ids(*sources: DataFrame) -> DataFrame:
     for s in sources[1:]:
         out = out.union(s)
     return out.distinct()
+
+
+def split_tls(io: DataFrame, tls: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(content, times): rows on a TLS connection keep only when they happened, and only if bytes moved; others keep all.
+
+    io: tgid, fd, ret, ...; tls: tgid, fd of TLS connections.
+    """
+    marked = io.join(tls.select("tgid", "fd").distinct().withColumn("__tls", F.lit(True)), ["tgid", "fd"], "left")
+    times = marked.where("__tls AND ret > 0").select("seq", "tgid", "fd", "dir", "ret", "ts_ns")
+    return marked.where("__tls IS NULL").drop("__tls"), times
+
+
+def active(snapshot: DataFrame, cumulative: bool = False) -> DataFrame:
+    """Rows of a snapshot that have counted something."""
+    return snapshot.where("n > 0 OR cum_count > 0" if cumulative else "n > 0")

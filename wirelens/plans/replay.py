@@ -140,7 +140,7 @@ def routed(io: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
     incomplete.
     """
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         router, rows = Router(config), []
         for r in pdf.sort_values("seq").itertuples():
             rows += router.feed(r.dir, int(r.ret), int(r.ts_ns), bytes(r.prefix), int(r.cgroup_id), r.kind == 4)

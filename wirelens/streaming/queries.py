@@ -77,7 +77,7 @@ def routed(io: DataFrame, ttl_ns: int = DEFAULT.pair_ttl_ns) -> DataFrame:
     quiet for the TTL in event time is closed, and an open model stream is given as incomplete.
     """
 
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         router = pickle.loads(state.get[0]) if state.exists else replay.Router()
         if state.hasTimedOut:
             state.remove()
