@@ -46,10 +46,10 @@ class Work:
         self.root = f"{shared_root(spark)}/wirelens-{uuid.uuid4().hex}"
         self.written = 0
 
-    def save(self, df: DataFrame, label: str) -> DataFrame:
+    def save(self, df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
         self.written += 1
         path = f"{self.root}/{self.written:03d}-{label}"
-        df.write.parquet(path)
+        df.write.option("compression", compression).parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         back._work_path = path
         return back

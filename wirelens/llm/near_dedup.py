@@ -238,7 +238,8 @@ def near_duplicates(docs: DataFrame, work: Work, by_key: bool = False) -> DataFr
     places = work.save(bands.join(sizes, "bucket"), "buckets")
     weights = work.save(places.groupBy("rep").agg(F.sum("size").alias("weight")), "weights")
     sigs = work.save(classes.join(weights, "rep").select("rep", "sig"), "signed")
-    sets = work.save(members(keyed, weights.select(F.col("rep").alias("key"))).mapInPandas(_sets, "key long, items array<long>"), "sets")
+    found_sets = members(keyed, weights.select(F.col("rep").alias("key"))).mapInPandas(_sets, "key long, items array<long>")
+    sets = work.save(found_sets.groupBy("key").agg(F.first("items").alias("items")), "sets")  # repeated rows give one
     links = known = None
     open_places = places.withColumn("comp", F.col("rep"))
     for turn in range(STARS):

@@ -39,6 +39,8 @@ BLOCK_BYTES = 4 << 20
 #: Bytes that one task of each exchange gets, about.
 BUCKET_TEXT = 32 << 20
 SHARD_TEXT = 2 << 20
+#: Bytes of masks that may be broadcast.
+BROADCAST_BYTES = 32 << 20
 LAST = (1 << 63) - 1
 
 _random = np.random.RandomState(50)
@@ -186,7 +188,7 @@ def pack(docs: DataFrame, work: Work, block_bytes: int = BLOCK_BYTES) -> DataFra
         if ids:
             yield block()
 
-    return work.save(docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "text").mapInPandas(run, "block long, ids binary, lengths binary, data binary"), "blocks")
+    return work.save(docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "text").mapInPandas(run, "block long, ids binary, lengths binary, data binary"), "blocks", "zstd")
 
 
 def _offers(buckets: int):
@@ -320,6 +322,9 @@ def dedup_suffixes(docs: DataFrame, work: Work) -> DataFrame:
     offers = blocks.mapInPandas(_offers(buckets), "bucket long, block long, hashes binary, several binary")
     masks = work.save(offers.groupBy("bucket").applyInPandas(_answers, "bucket long, block long, mask binary"), "masks")
     per_block = masks.groupBy("block").agg(F.collect_list(F.struct("bucket", "mask")).alias("masks"))
+    # About a bit for every fourteen bytes of text: broadcast while a check says that it is small, else joined by a shuffle.
+    if (masks.agg(F.sum(F.length("mask"))).first()[0] or 0) <= BROADCAST_BYTES:
+        per_block = F.broadcast(per_block)
     marked = blocks.join(per_block, "block", "left").select("block", "ids", "lengths", "data", "masks")
     sent = marked.mapInPandas(_contexts(buckets, shards), "shard long, block long, sizes binary, least binary, data binary")
     sources = work.save(sent.groupBy("shard").applyInPandas(_sources, "shard long, block long, counts binary, sources binary"), "sources")
