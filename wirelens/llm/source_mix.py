@@ -31,7 +31,7 @@ BLOCK = 128
 SHARD_SLOTS = 1024
 CAP = 3
 #: Rows of one bucket of documents, about.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 #: Cells of a line on which points look for their stretch.
 LINE_CELLS = 4096
 #: Rounds of a permutation.
