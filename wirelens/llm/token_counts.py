@@ -26,38 +26,32 @@ from pyspark.sql.window import Window
 
 from .common import Work, read_table
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Fixed value: how the vocabulary's texts are split before they are encoded.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 EOD = 50256
 BLOCK_TOKENS = 1 << 18
-#: Characters that are handed to the tokenizer at once, about.
-BATCH_CHARS = 1 << 20
 
 _loaded: dict = {}
 
 
 def load_tokenizer(path: str):
+    """The encoding of a file of ranks (base64 token and rank a line); no special tokens, so all text is ordinary text."""
     if path not in _loaded:
-        import os
+        import base64
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        _loaded[path] = Tokenizer.from_file(path)
-        _loaded[path].encode_special_tokens = True  # their strings in a text are ordinary text
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        _loaded[path] = tiktoken.Encoding("flat", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _loaded[path]
 
 
 def encode(tokenizer, texts: list) -> Iterator[np.ndarray]:
     """The ids of each text, in order; None counts as empty."""
-    low = 0
-    while low < len(texts):
-        high, size = low, 0
-        while high < len(texts) and (high == low or size + len(texts[high] or "") < BATCH_CHARS):
-            size += len(texts[high] or "")
-            high += 1
-        for e in tokenizer.encode_batch([t or "" for t in texts[low:high]], add_special_tokens=False):
-            yield np.array(e.ids, np.uint16)
-        low = high
+    for text in texts:
+        yield np.array(tokenizer.encode_ordinary(text or ""), np.uint16)
 
 
 def write_flat(docs: DataFrame, work: Work, tokenizer: str = TOKENIZER, eod: int = EOD, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
