@@ -213,6 +213,7 @@ def test_suffix_array_is_sorted():
         near = suffixes.suffix_array(a, 5)
         assert [d[k : k + 5] for k in near] == [d[k : k + 5] for k in order]
         common = suffixes.common_prefixes(a, order, 50)
+        assert (suffixes.prefixes_reach(a, order, 8) == (common >= 8)).all()
         for x, y in zip(order[1:], order, strict=False):
             m = 0
             while m < min(50, n - max(x, y)) and d[x + m] == d[y + m]:

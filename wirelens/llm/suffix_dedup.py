@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import Work, read_table
 from .shingles import mixed
-from .suffixes import common_prefixes, suffix_array
+from .suffixes import prefixes_reach, suffix_array
 
 SPAN = 50
 GRAM = 24
@@ -54,7 +54,7 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, np.uint64(base))]), dtype=np.uint64)
 
 
-_UP, _DOWN = _powers(_BASE, SLICE + SPAN), _powers(_INVERSE, SLICE + SPAN)
+_UP, _DOWN = _powers(_BASE, SLICE + 4 * SPAN), _powers(_INVERSE, SLICE + 4 * SPAN)
 
 
 class Anchors:
@@ -96,11 +96,17 @@ class Anchors:
 
 
 def context_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A hash of the bytes data[start : start + size] for each context."""
-    out = np.zeros(len(start), np.uint64)
-    for k in range(0, int(size.max()) if len(size) else 0):
-        live = size > k
-        out[live] = out[live] * np.uint64(_BASE) + _BYTE[data[start[live] + k]]
+    """A hash of the bytes data[start : start + size] for each context, given in order of start."""
+    out = np.empty(len(start), np.uint64)
+    low = 0
+    while low < len(start):
+        base = int(start[low])
+        high = int(np.searchsorted(start, base + SLICE))
+        s, e = start[low:high] - base, start[low:high] - base + size[low:high]
+        part = data[base : base + int(e.max())]
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[part] * _UP[: len(part)], dtype=np.uint64)])
+        out[low:high] = (sums[e] - sums[s]) * _DOWN[s]
+        low = high
     return mixed(out + size.astype(np.uint64))
 
 
@@ -262,7 +268,7 @@ def window_sources(data: np.ndarray, size: np.ndarray, least: np.ndarray) -> np.
     at = np.cumsum(n + 1) - (n + 1)
     flat[ranges(at, n)] = data[ranges(start[keep], n)]
     suffixes = suffix_array(flat, SPAN)
-    agree = common_prefixes(flat, suffixes, SPAN)[suffixes] >= SPAN
+    agree = prefixes_reach(flat, suffixes, SPAN)[suffixes]
     owner = np.repeat(smallest, n + 1)
     run = np.flatnonzero(~agree)
     source = np.empty(len(flat), np.int64)

@@ -36,7 +36,7 @@ def induce(text: np.ndarray, smaller: np.ndarray, lms: np.ndarray, size: int) ->
     end = np.cumsum(counts)
     begin = end - counts
     larger_counts = np.bincount(text[~smaller], minlength=size)
-    place = np.full(len(text), -1, np.int64)
+    place = np.full(len(text), -1, np.int32 if len(text) < 1 << 31 else np.int64)
     lms_symbols = text[lms]
     lms_end = np.searchsorted(lms_symbols, np.arange(size), side="right")
     lms_begin = np.searchsorted(lms_symbols, np.arange(size), side="left")
@@ -100,30 +100,35 @@ def _names(text: np.ndarray, lms: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 
 def sort_names(name: np.ndarray, depth: int) -> np.ndarray:
-    """The order of the suffixes of a string of names, by their first `depth` names at least (ties as they come)."""
-    span = 1
-    while True:
-        order = np.argsort(name, kind="stable")
-        if span >= depth or len(name) < 2:
-            return order
-        ranked = name[order]
-        if (ranked[1:] != ranked[:-1]).all():
-            return order
-        nxt = np.zeros(len(name), np.int64)
-        nxt[:-span] = name[span:] + 1
-        pair = name * (len(name) + 2) + nxt
-        order = np.argsort(pair, kind="stable")
-        ranked = pair[order]
-        name = np.empty(len(name), np.int64)
-        name[order] = np.concatenate([[0], np.cumsum(ranked[1:] != ranked[:-1])])
+    """The order of the suffixes of a string of names, by their first `depth` names at least (ties as they come).
+
+    Ranks are places in the order: a suffix that has its place for good isn't touched again.
+    """
+    n, span = len(name), 1
+    counts = np.bincount(name)
+    rank = (np.cumsum(counts) - counts)[name]
+    open_ = np.flatnonzero(counts[name] > 1)
+    while span < depth and len(open_):
+        after = np.where(open_ + span < n, rank[np.minimum(open_ + span, n - 1)] + 1, 0)
+        pair = rank[open_] * (n + 2) + after
+        order = np.argsort(pair)
+        open_, pair = open_[order], pair[order]
+        before = rank[open_]
+        first = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
+        place = before + np.arange(len(open_)) - np.repeat(first, np.diff(np.append(first, len(open_))))
+        new = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+        size = np.diff(np.append(new, len(open_)))
+        rank[open_] = np.repeat(place[new], size)
+        open_ = open_[np.repeat(size, size) > 1]
         span *= 2
+    return np.argsort(rank, kind="stable")
 
 
 def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     """Positions of data (bytes) in the order of their suffixes, which is right for the first `depth` bytes."""
     if not len(data):
         return np.zeros(0, np.int64)
-    text = np.append(data.astype(np.int64) + 1, 0)
+    text = np.append(data.astype(np.int16) + 1, 0).astype(np.int16)  # 16 bits are sorted by radix
     smaller = classify(text)
     lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
     first = lms[np.argsort(text[lms], kind="stable")]
@@ -156,11 +161,29 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, depth: int) -> np.ndarr
         at = at[inside]
         x, y = words[at + k], words[before[at] + k]
         differ = x ^ y
-        # Low bytes come first; equal zero padding beyond the end is cut off below.
-        low = differ & (~differ + np.uint64(1))
-        equal = np.where(differ == 0, 8, np.floor(np.log2(np.maximum(low, 1).astype(np.float64))).astype(np.int64) // 8)
-        out[at] += equal
+        # Low bytes come first: the zero bits below the lowest difference, in bytes (64 if there is none). Equal
+        # padding beyond the end is cut off below.
+        out[at] += np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)) >> 3
         at = at[differ == 0]
     every = np.flatnonzero(before >= 0)
     out[every] = np.minimum(out[every], np.minimum(len(data) - every, len(data) - before[every]))
     return np.minimum(out, depth)
+
+
+def prefixes_reach(data: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
+    """Whether the permuted common prefix is `depth` (8 at least) or longer: common_prefixes >= depth, by position.
+
+    The last eight bytes are compared first; they tell most suffixes apart.
+    """
+    out = np.zeros(len(data), bool)
+    if len(data) < depth:
+        return out
+    before = np.full(len(data), len(data), np.int64)
+    before[order[1:]] = order[:-1]
+    words = words_at(data)
+    last = len(data) - depth
+    at = np.flatnonzero(before[: last + 1] <= last)
+    for k in (depth - 8, *range(0, depth - 8, 8)):
+        at = at[words[at + k] == words[before[at] + k]]
+    out[at] = True
+    return out
