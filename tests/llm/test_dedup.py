@@ -107,8 +107,9 @@ def test_near(docs, rows, work):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got if r.doc_id is not None)
 
 
-def test_near_tiles_lose_no_pair(spark, work, monkeypatch):
-    """Every pair over all tiles and bands is let through once, whatever the tile size."""
+@pytest.mark.parametrize("tile", [7, 1000])
+def test_near_tiles_join_all_that_is_linked(spark, tile):
+    """Whatever the tile size, the links of all tiles connect what the links of all pairs connect, and are links."""
     rng = random.Random(8)
     text = words(rng, 150).split()
     made = []
@@ -117,15 +118,28 @@ def test_near_tiles_lose_no_pair(spark, work, monkeypatch):
         for _ in range(rng.randint(2, 5)):
             copy[rng.randrange(150)] = f"q{k}x{rng.randrange(9)}"
         made.append((k, " ".join(copy)))
-    docs = spark.createDataFrame(made, "doc_id long, text string")
+    docs = spark.createDataFrame(made, "doc_id long, text string").select(F.col("doc_id").alias("key"), "text")
     want = {(a, b) for b in range(60) for a in range(b) if 100 * len((x := shingle_set(made[a][1])) & (y := shingle_set(made[b][1]))) >= 75 * len(x | y)}
-    sigs = docs.select(F.col("doc_id").alias("key"), "text").mapInPandas(near_dedup._signatures, "key long, n long, fp_a long, fp_b long, sig array<int>").select(F.col("key").alias("rep"), "sig").cache()
+    sigs = docs.mapInPandas(near_dedup._signatures, "key long, n long, fp_a long, fp_b long, sig array<int>").select(F.col("key").alias("rep"), "sig").cache()
+    sets = docs.mapInPandas(near_dedup._sets, "key long, items array<long>").cache()
     band = F.expr("transform(sequence(0, 31), b -> xxhash64(b, slice(sig, b * 4 + 1, 4)))")
     rows = sigs.select("rep", F.posexplode_outer(band).alias("band", "bucket")).withColumn("comp", F.col("rep")).withColumn("size", F.lit(60).cast("long"))
-    for tile in (7, 1000):
-        got = [(r.a, r.b) for r in near_dedup.unconnected_pairs(rows, sigs, tile).collect()]
-        assert len(got) == len(set(got))
-        assert want <= set(got)
+    got = {(r.a, r.b) for r in near_dedup.unconnected_links(rows, sigs, sets, tile).collect()}
+
+    def groups(links):
+        parent = list(range(60))
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in links:
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+        return [root(k) for k in range(60)]
+
+    assert got <= want
+    assert groups(got) == groups(want)
 
 
 def test_bayes_bounds():

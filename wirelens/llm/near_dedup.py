@@ -8,8 +8,8 @@ it reaches the threshold (uniform prior) is below MISS; what survives is verifie
 
 A bucket of many members isn't expanded into all its pairs. First every member is compared with the bucket's
 centre, the member that shares the largest buckets, then with a random member; a group of copies becomes one
-component that way. At last the members of a bucket that still aren't connected are compared in tiles, in memory,
-so that no link between components is lost, and only the pairs that the comparison lets through become rows.
+component that way. At last the members of a bucket that still aren't connected are compared and verified in tiles, in
+memory, so that no link between components is lost, and only links that join two components become rows.
 
 Edge cases: a text with fewer words than a shingle is one shingle; one without words, empty or null, has no
 shingles and is linked with nothing. A null doc_id is an unnamed document: it may join a component, and its own
@@ -145,19 +145,28 @@ def compared(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return signed.select("a", "b", "sig_a", "sig_b").mapInPandas(_survivors, "a long, b long")
 
 
-def _tile_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (bucket, i, j, t, band, rep, comp, sig), sorted by tile: the tile's pairs of different components, compared.
+def _tile_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (bucket, i, j, t, band, rep, comp, sig, items), sorted by tile: links that join the tile's components.
 
-    A pair that shares several bands is looked at in the first of them only.
+    Pairs of different components are compared by signature; those let through are verified on the full sets, the most
+    alike first, until their components are joined. A pair that shares several bands is looked at in the first of them
+    only. A tile of m members gives m - 1 links at most.
     """
     least = least_matches()
     held: list[pd.DataFrame] = []
     key = None
 
-    def tile(rows: pd.DataFrame) -> pd.DataFrame | None:
+    def tile(rows: pd.DataFrame) -> pd.DataFrame:
         t, i, j, band = rows["t"].to_numpy(), rows["i"].iloc[0], rows["j"].iloc[0], int(rows["band"].iloc[0])
-        rep, comp, sig = rows["rep"].to_numpy(), rows["comp"].to_numpy(), np.stack(rows["sig"].to_numpy())
+        rep, comp, sig, items = rows["rep"].to_numpy(), rows["comp"].to_numpy(), np.stack(rows["sig"].to_numpy()), rows["items"].tolist()
         left, right = np.flatnonzero(t == i), np.flatnonzero(t == j)
+        parent: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while (up := parent.get(c, c)) != c:
+                parent[c] = c = parent.get(up, up)
+            return c
+
         out = []
         for low in range(0, len(left), 64):
             some = left[low : low + 64]
@@ -178,9 +187,13 @@ def _tile_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     if k * (STEP // ROWS) + g < band:
                         stay &= ~same[:, g * ROWS : (g + 1) * ROWS].all(axis=1)
                 x, y, matches = x[stay], y[stay], matches[stay]
-            if len(x):
-                out.append(pd.DataFrame({"a": np.minimum(rep[x], rep[y]), "b": np.maximum(rep[x], rep[y])}))
-        return pd.concat(out) if out else None
+            for k in np.argsort(-matches, kind="stable").tolist():
+                u, v = int(x[k]), int(y[k])
+                cu, cv = root(int(comp[u])), root(int(comp[v]))
+                if cu != cv and linked(items[u], items[v]):
+                    parent[max(cu, cv)] = min(cu, cv)
+                    out.append((min(rep[u], rep[v]), max(rep[u], rep[v])))
+        return pd.DataFrame(out, columns=["a", "b"])
 
     for pdf in batches:
         keys = list(zip(pdf["bucket"], pdf["i"], pdf["j"], strict=True))
@@ -189,30 +202,40 @@ def _tile_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if low == high:
                 continue
             if keys[low] != key and held:
-                if (found := tile(pd.concat(held) if len(held) > 1 else held[0])) is not None:
-                    yield found
+                yield tile(pd.concat(held) if len(held) > 1 else held[0])
                 held = []
             key = keys[low]
             held.append(pdf.iloc[low:high])
-    if held and (found := tile(pd.concat(held) if len(held) > 1 else held[0])) is not None:
-        yield found
+    if held:
+        yield tile(pd.concat(held) if len(held) > 1 else held[0])
+
+
+def linked(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets (sorted arrays) reach the threshold."""
+    few, many = (a, b) if len(a) < len(b) else (b, a)
+    if 100 * len(few) < PERCENT * len(many):
+        return False
+    at = np.minimum(np.searchsorted(many, few), len(many) - 1)
+    shared = int((many[at] == few).sum())
+    return 100 * shared >= PERCENT * (len(a) + len(b) - shared)
 
 
-def unconnected_pairs(rows: DataFrame, sigs: DataFrame, tile: int = TILE) -> DataFrame:
-    """The compared pairs (a, b) of rows(bucket, band, rep, comp, size) that share a bucket and no component.
+def unconnected_links(rows: DataFrame, sigs: DataFrame, sets: DataFrame, tile: int = TILE) -> DataFrame:
+    """Links (a, b) that join components of rows(bucket, band, rep, comp, size) which share a bucket.
 
     A bucket is cut into tiles of `tile` members; every two tiles meet in one task, where their pairs are looked at in
-    memory. Only what the comparison lets through becomes a row.
+    memory. Signatures and sets go along, and only links that join two components become rows.
     """
     cells = F.ceil(F.col("size") / tile)
     placed = rows.withColumn("t", F.pmod(F.xxhash64("rep"), cells)).withColumn("o", F.explode(F.sequence(F.lit(0), cells.cast("int") - 1)))
     tiles = placed.select("bucket", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", "band", "rep", "comp")
     return (
         tiles.join(sigs, "rep")
-        .select("bucket", "i", "j", "t", "band", "rep", "comp", "sig")
+        .join(sets.select(F.col("key").alias("rep"), F.sort_array("items").alias("items")), "rep")
+        .select("bucket", "i", "j", "t", "band", "rep", "comp", "sig", "items")
         .repartition("bucket", "i", "j")
         .sortWithinPartitions("bucket", "i", "j")
-        .mapInPandas(_tile_pairs, "a long, b long")
+        .mapInPandas(_tile_links, "a long, b long")
     )
 
 
@@ -257,7 +280,7 @@ def near_duplicates(docs: DataFrame, work: Work, by_key: bool = False) -> DataFr
         if not open_places.limit(1).count():
             break
     # What is left: members of one bucket that still aren't connected.
-    across = verified(work.save(unconnected_pairs(open_places, sigs).distinct(), "survivors"), sets, work)
+    across = work.save(unconnected_links(open_places, sigs, sets).distinct(), "links")
     final = components(links.unionByName(across), work)
     reps = work.save(
         classes.join(final, F.col("rep") == F.col("node"), "left").select("fp_a", "fp_b", "n", F.coalesce("comp", "rep").alias("comp")), "labels"
