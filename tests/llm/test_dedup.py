@@ -189,6 +189,45 @@ def test_lines(docs, rows, work):
     assert line_dedup.dedup_lines(docs, work).count() == len(rows)
 
 
+def passages_brute(rows):
+    """doc -> (text left, lines gone), from all pairs of neighbouring lines that aren't blank; knows no chunk boundaries."""
+    first, out = {}, {}
+    for i, t in sorted(set(rows), key=lambda r: (r[0], r[1] or "")):
+        lines = (t or "").split("\n")
+        solid = [k for k, x in enumerate(lines) if re.search(r"[^\x20\x09-\x0D]", x)]
+        gone = set()
+        for a, b in zip(solid, solid[1:], strict=False):
+            doc, end = first.setdefault(tuple(lines[a : b + 1]), (i, b))
+            if doc != i or a > end:
+                gone |= set(range(a, b + 1))
+        out[i] = (None if t is None else "\n".join(x for k, x in enumerate(lines) if k not in gone), len(gone))
+    return out
+
+
+def test_repeated_passages_leave_no_line(spark, docs, rows, work):
+    rng = random.Random(9)
+    planted = [[words(rng, 12) for _ in range(rng.choice((2, 2, 2, 3, 4, 6)))] for _ in range(60)]
+    planted[0].insert(1, "")
+    made = []
+    for k in range(180):  # each passage thrice, between lines of its own
+        made.append((k, "\n".join([words(rng, 9), *planted[k % 60], words(rng, 9)])))
+    made += [(900, "a a\na a\na a"), (901, "b b\n" * 4), (902, "c\nd\nc\nd\nc"), (903, "c\n\nd"), (904, ""), (905, None), made[70]]
+    frame = spark.createDataFrame([(i, t, 1) for i, t in made], "doc_id long, text string, first int").repartition(5)
+    want = passages_brute(made)
+    got = line_dedup.dedup_passages(frame, work).collect()
+    assert len(got) == len(made)
+    assert {r.doc_id: (r.text, r["__n_removed"]) for r in got} == want
+    for r in got:
+        if 60 <= r.doc_id < 180:
+            assert r["__n_lines"] - r["__n_removed"] == 2  # its own lines
+    named = [(i, t) for i, t in rows if i is not None]
+    again = line_dedup.dedup_passages(docs.where("doc_id IS NOT NULL"), work).collect()
+    assert {r.doc_id: (r.text, r["__n_removed"]) for r in again} == passages_brute(named)
+    assert line_dedup.dedup_passages(docs, work).count() == len(rows)
+    chunks = line_dedup.dedup_lines(frame, work).collect()
+    assert sum(r["__n_removed"] for r in got) > sum(r["__n_removed"] for r in chunks)
+
+
 def suffix_brute(rows):
     first = {}
     data = [(last(i), (t or "").encode()) for i, t in rows]

@@ -4,7 +4,13 @@ The lines of a text are hashed; a rolling hash over two neighbouring line hashes
 so that lines inserted or deleted elsewhere don't move them. A chunk of two lines or more that aren't blank,
 which occurs again anywhere in the corpus, stays at its first place (smallest doc_id, then first in the text) and
 is removed elsewhere, after its bytes were compared with those of the place that stays. Chunks of one line, and
-everything that occurs once, stay untouched.
+everything that occurs once, stay untouched. That is op9_line_dedup, as its SQL states it: a repeated passage whose
+lines fall into chunks of one line, or into chunks with lines of their surroundings, stays in part or whole.
+
+dedup_passages, which the pipeline uses, has no boundaries to miss a passage by: every two neighbouring lines that
+aren't blank, with the blank ones between, are a chunk. So every line of every passage of two lines or more which
+stands at an earlier place is removed. A line's text stays at its first place at least. Places that overlap the
+first place of the same two lines (a line repeated at once) aren't repetitions.
 
 What moves: first a hash for each chunk; then, for repeated hashes only, their bytes; at last each text that
 loses lines. Everything is DataFrame functions.
@@ -16,6 +22,8 @@ after all others. Further columns are carried along; an empty table gives an emp
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,30 +64,49 @@ def chunk_rows(docs: DataFrame, *keep: str) -> DataFrame:
     return rows.select(*keep, "no", solid.alias("solid"), F.array_join("c", "\n").alias("body"))
 
 
+def pair_rows(docs: DataFrame, *keep: str) -> DataFrame:
+    """A row for every two neighbouring lines that aren't blank: keep, no (the first one's number), body (both, and what is between)."""
+    lines = docs.withColumn("__lines", F.split("text", "\n", -1))
+    solid = lines.withColumn("__solid", F.expr(f"filter(sequence(0, size(__lines) - 1), k -> __lines[k] rlike r'{WORD_PATTERN}')"))
+    pairs = F.expr(
+        """CASE WHEN size(__solid) > 1 THEN transform(sequence(0, size(__solid) - 2), j -> named_struct('no', __solid[j],
+                'body', array_join(slice(__lines, __solid[j] + 1, __solid[j + 1] - __solid[j] + 1), '\n'))) END"""
+    )
+    rows = solid.withColumn("__pairs", pairs).select(*keep, F.explode_outer("__pairs").alias("p")).where("p IS NOT NULL")
+    return rows.select(*keep, "p.no", "p.body")
+
+
 def _place():
     return F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "fp", "no")
 
 
-def lost_chunks(docs: DataFrame, work: Work, min_lines: int = MIN_LINES) -> DataFrame:
-    """doc_id, fp, gone: the numbers of the chunks that a document loses."""
+def lost_places(docs: DataFrame, work: Work, rows_of: Callable[..., DataFrame]) -> DataFrame:
+    """doc_id, fp, no, body, first: the rows of rows_of(docs, ...) whose body stands at an earlier place, `first`."""
     keyed = docs.select("doc_id", F.xxhash64("text").alias("fp"), "text")
-    marks = work.save(
-        chunk_rows(keyed, "doc_id", "fp").where(F.col("solid") >= min_lines).select("doc_id", "fp", "no", F.xxhash64("body").alias("hash")).distinct(),
-        "marks",
-    )
+    marks = work.save(rows_of(keyed, "doc_id", "fp").select("doc_id", "fp", "no", F.xxhash64("body").alias("hash")).distinct(), "marks")
     # Aggregates are written before they are joined: the join's exchanges can then be split where a key is hot.
     again = work.save(marks.groupBy("hash").count().where("count > 1").select("hash"), "again")
     wanted = marks.join(again, "hash").groupBy("doc_id", "fp").agg(F.collect_set("no").alias("nos"))
     same = [F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")), F.col("d.fp") == F.col("w.fp")]
     found = keyed.alias("d").join(wanted.alias("w"), same).select("d.doc_id", "d.fp", "d.text", "w.nos")
-    bodies = work.save(
-        chunk_rows(found, "doc_id", "fp", "nos").where(F.array_contains("nos", F.col("no"))).select("doc_id", "fp", "no", "body"), "bodies"
-    )
+    bodies = work.save(rows_of(found, "doc_id", "fp", "nos").where(F.array_contains("nos", F.col("no"))).select("doc_id", "fp", "no", "body"), "bodies")
     # The byte comparison: places are grouped by the chunk's text itself, not by its hash.
     firsts = work.save(bodies.groupBy("body").agg(F.min(_place()).alias("first")), "firsts")
-    return (
-        bodies.join(firsts, "body").where(_place() != F.col("first")).groupBy("doc_id", "fp").agg(F.collect_set("no").alias("gone"))
-    )
+    return bodies.join(firsts, "body").where(_place() != F.col("first"))
+
+
+def lost_chunks(docs: DataFrame, work: Work, min_lines: int = MIN_LINES) -> DataFrame:
+    """doc_id, fp, gone: the numbers of the chunks that a document loses."""
+    lost = lost_places(docs, work, lambda d, *keep: chunk_rows(d, *keep).where(F.col("solid") >= min_lines))
+    return lost.groupBy("doc_id", "fp").agg(F.collect_set("no").alias("gone"))
+
+
+def lost_lines(docs: DataFrame, work: Work) -> DataFrame:
+    """doc_id, fp, gone: the numbers of the lines that a document loses by passages which stand at an earlier place."""
+    breaks = F.length("body") - F.length(F.replace("body", F.lit("\n"), F.lit("")))
+    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("fp") == F.col("first.fp"))
+    lost = lost_places(docs, work, pair_rows).withColumn("breaks", breaks).where(~(own & (F.col("no") <= F.col("first.no") + F.col("breaks"))))
+    return lost.groupBy("doc_id", "fp").agg(F.flatten(F.collect_set(F.expr("sequence(no, no + breaks)"))).alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, work: Work, min_lines: int = MIN_LINES) -> DataFrame:
@@ -100,6 +127,22 @@ def dedup_lines(docs: DataFrame, work: Work, min_lines: int = MIN_LINES) -> Data
     )
 
 
+def dedup_passages(docs: DataFrame, work: Work) -> DataFrame:
+    """docs without the lines of repeated passages: text, and __n_lines and __n_removed as in dedup_lines."""
+    gone = lost_lines(docs, work)
+    keyed = docs.withColumn("__fp", F.xxhash64("text"))
+    same = [F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")), F.col("d.__fp") == F.col("g.fp")]
+    cut = keyed.alias("d").join(gone.alias("g"), same, "left").select("d.*", F.col("g.gone").alias("__gone")).withColumn("__lines", F.split("text", "\n", -1))
+    left = F.expr("transform(array_except(sequence(0, size(__lines) - 1), __gone), k -> __lines[k])")
+    return (
+        cut.withColumn("__left", F.when(F.col("__gone").isNotNull(), left))
+        .withColumn("__n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size("__lines")).cast("long"))
+        .withColumn("__n_removed", F.when(F.col("__gone").isNull(), 0).otherwise(F.col("__n_lines") - F.size("__left")).cast("long"))
+        .withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join("__left", "\n")))
+        .drop("__fp", "__gone", "__lines", "__left")
+    )
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs, Work(spark)).select(
