@@ -132,6 +132,32 @@ def test_leaks_against_brute_force(spark):
     assert kept == {d for d, _ in docs} - {d for d, _ in got} | {500, 501}
 
 
+@pytest.mark.parametrize("kind", ["even", "substitute", "insert", "delete", "mixed"])
+def test_recall_at_the_limit_of_edits(kind):
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    found = tried = 0
+    for n in (15, 20, 40, 59, 120, 256):
+        items, texts = [], []
+        for k in range(100):
+            item = [word() for _ in range(n)]
+            copy, edits = list(item), decontaminate.allowed_edits(n)
+            for j in range(edits):
+                do = rng.choice(("substitute", "insert", "delete")) if kind == "mixed" else kind
+                place = int((j + 0.5) * n / edits) if do == "even" else rng.randrange(len(copy))
+                if do == "insert":
+                    copy.insert(place, word())
+                elif do == "delete":
+                    del copy[place]
+                else:
+                    copy[place] = word()
+            items.append((k, " ".join(item)))
+            texts.append(" ".join([*(word() for _ in range(40)), *copy, *(word() for _ in range(40))]))
+        hits = decontaminate.Index(items).hits(decontaminate.batch_word_hashes(texts))
+        found, tried = found + sum(k in h for k, h in enumerate(hits)), tried + len(items)
+    assert found >= decontaminate.TARGET_RECALL * tried
+
+
 def test_leaks_in_item_blocks(spark):
     docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     whole = sorted(map(tuple, decontaminate.leaks(docs, bench).collect()))

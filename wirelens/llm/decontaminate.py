@@ -3,14 +3,15 @@
 A document leaks an item when some stretch of its words is within an edit distance (in words, case and
 punctuation aside) of MAX_EDIT of the item's words. Three steps in one map-only pass:
 
-1. Windows of the item's size at every word of every text. A window can only hold the item if enough of its
-   word pairs are the benchmark's (an edit spoils two pairs at most); windows with fewer are left out, which
-   loses nothing.
+1. Windows of the item's size (LONGEST at most) at every word of every text. A window can only hold the item if
+   enough of its word pairs are those of items of that size (an edit spoils two pairs at most); windows with fewer are
+   left out, which loses nothing.
 2. The other windows are embedded by CGK random walks: at each step the current word is put out, and a random
    bit of (walk, step, word) says whether to go on to the next word. Texts at a small edit distance get
    embeddings at a small Hamming distance. Each of WALKS walks is sampled by TABLES sets of DRAWS positions; a
    window that agrees with an item's own embedding on one set is a candidate. Items are entered by their
-   first and by their last words, so that edits at one end are caught from the other.
+   first and by their last words, so that edits at one end are caught from the other, and longer ones by every stretch
+   of the window's size: wherever the edits are, one of the stretches has no more than its share of them.
 3. Candidates are verified by the exact edit distance of the item to the best stretch nearby (bit-parallel).
 
 The benchmark is read in blocks of ITEM_BLOCK items, whose index goes to every task; each block is a pass over
@@ -24,7 +25,7 @@ are ignored; empty tables give an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -36,14 +37,25 @@ from .shingles import batch_word_hashes, mixed
 
 MAX_EDIT = 0.2
 MIN_WORDS = 6
-WALKS = 4
-TABLES = 10
+#: The share of leaks to be found at MAX_EDIT, whatever the kind of edit. Walks, tables and steps are chosen by it:
+#: tests/llm/test_others.py measures them.
+TARGET_RECALL = 0.99
+WALKS = 16
+TABLES = 20
+#: Steps of a walk, times the window's size: a walk has two steps a word on average.
+STEPS = 2
 DRAWS = 4
 ITEM_BLOCK = 20_000
 PAIR_BITS = 22
+#: Keys are looked up in a table of their first bits before they are searched for.
+KEY_BITS = 22
+#: Windows that are embedded at once, by all walks.
+AT_ONCE = 1 << 11
 #: Words that are searched at once.
 BATCH_WORDS = 1 << 18
-GRID = [6, 8, 10, 12, 14, 16, 20, 24, 28, 32, 40, 48, 56, 64, 80, 96, 128, 192, 256]
+GRID = [6, 8, 10, 12, 14, 16, 20, 24, 28, 32, 40, 48, 56, 64]
+#: Longer items are searched by stretches of this size.
+LONGEST = GRID[-1]
 
 _PLAIN = bytes(ord(" ") if chr(c) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else c for c in range(256))
 
@@ -62,37 +74,53 @@ def step_bits(words: np.ndarray, walk: int, part: int) -> np.ndarray:
     return mixed(words + np.uint64(((walk * 8 + part + 1) * 0x632BE59BD9B4E019) & (2**64 - 1)))
 
 
-def embed(words: np.ndarray, at: np.ndarray, size: int, walk: int, cache: dict) -> np.ndarray:
-    """The first steps of the embeddings of the windows words[at : at + size], as positions x windows."""
-    steps = size + size // 2
-    out = np.empty((steps, len(at)), np.uint64)
-    here = at.copy()
+def embed(words: np.ndarray, at: np.ndarray, size: int, cache: dict) -> np.ndarray:
+    """The first steps of the embeddings of the windows words[at : at + size], as positions x walks x windows."""
+    steps = STEPS * size
+    out = np.empty((steps, WALKS, len(at)), np.uint64)
+    here = np.tile(at, (WALKS, 1))
+    walk = np.arange(WALKS)[:, None]
     for step in range(steps):
         if step % 64 == 0:
-            if (walk, step // 64) not in cache:
-                cache[walk, step // 64] = step_bits(words, walk, step // 64)
-            bits = cache[walk, step // 64]
+            if step // 64 not in cache:
+                cache[step // 64] = np.stack([step_bits(words, w, step // 64) for w in range(WALKS)])
+            bits = cache[step // 64]
         if step < size:  # no walk can be over yet
             out[step] = words[here]
-            here += ((bits[here] >> np.uint64(step % 64)) & np.uint64(1)).astype(np.int64)
+            here += ((bits[walk, here] >> np.uint64(step % 64)) & np.uint64(1)).astype(np.int64)
         else:
             live = here - at < size
             now = np.where(live, here, 0)
             out[step] = np.where(live, words[now], np.uint64(0))
-            here += ((bits[now] >> np.uint64(step % 64)) & np.uint64(1)).astype(np.int64) * live
+            here += ((bits[walk, now] >> np.uint64(step % 64)) & np.uint64(1)).astype(np.int64) * live
     return out
 
 
-def sampled_keys(embedding: np.ndarray, size: int, walk: int) -> np.ndarray:
-    """A key for each sampling set and window: tables x windows."""
-    draw = np.random.RandomState(walk * 1009 + size)
-    keys = []
-    for table in range(TABLES):
-        key = np.full(embedding.shape[1], np.uint64((walk * TABLES + table + 1) * 7919 + size))
-        for position in sorted(draw.choice(len(embedding), min(DRAWS, len(embedding)), replace=False).tolist()):
-            key = mixed(key ^ embedding[position])
-        keys.append(key)
-    return np.stack(keys)
+@lru_cache(maxsize=256)
+def draws(size: int, walks: int, tables: int, steps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions and their multipliers, as draws x walks x tables, and what a key starts from, as walks x tables."""
+    n = min(DRAWS, steps)
+    places, factors = np.empty((n, walks, tables), np.int64), np.empty((n, walks, tables), np.uint64)
+    for walk in range(walks):
+        draw = np.random.RandomState(walk * 1009 + size)
+        for table in range(tables):
+            places[:, walk, table] = draw.choice(steps, n, replace=False)
+            factors[:, walk, table] = (draw.randint(1, 1 << 62, n).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
+    first = (np.arange(walks * tables, dtype=np.uint64).reshape(walks, tables) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    return places, factors, first
+
+
+def sampled_keys(embedding: np.ndarray, size: int) -> np.ndarray:
+    """A key for each walk's sampling sets and window: (walks x tables) x windows.
+
+    Words are 64-bit hashes; a multiplier for each of the positions tells their order.
+    """
+    places, factors, first = draws(size, WALKS, TABLES, len(embedding))
+    walk = np.arange(WALKS)[:, None]
+    keys = np.repeat(first[:, :, None], embedding.shape[2], axis=2)
+    for k in range(len(places)):
+        keys += embedding[places[k], walk] * factors[k][:, :, None]
+    return keys.reshape(WALKS * TABLES, -1)
 
 
 def edit_distance(item: list[int], stretch: list[int]) -> int:
@@ -136,30 +164,36 @@ class Index:
         lengths = np.array([len(h) for _, h in kept], np.int64)
         self.gap = int(lengths.max() * 2) if len(kept) else 1
         flat, starts = laid_out([h for _, h in kept], 1)
-        self.known = np.zeros(1 << PAIR_BITS, bool)
-        self.known[self.pair_cells(flat)[(flat[:-1] != 0) & (flat[1:] != 0)]] = True
-        #: By window size: smallest and largest item, keys (sorted) with the item and how far in its window starts.
-        self.sizes: dict[int, tuple[int, int, np.ndarray, np.ndarray, np.ndarray]] = {}
+        #: For each cell of word pairs, a bit for each of GRID in whose items it occurs.
+        self.known = np.zeros(1 << PAIR_BITS, np.uint16)
+        #: By window size: smallest and largest item, the keys' first bits, keys (sorted), their entries, and each entry's
+        #: item and how far in its window starts.
+        self.sizes: dict[int, tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         grid = np.array(GRID)
         size_of = grid[np.searchsorted(grid, lengths, "right") - 1]
         cache: dict = {}
         for size in np.unique(size_of).tolist():
             group = np.flatnonzero(size_of == size)
-            rest = lengths[group] - size
-            item = np.concatenate([group, group[rest > 0]])
-            shift = np.concatenate([np.zeros(len(group), np.int64), rest[rest > 0]])
-            keys = np.concatenate([sampled_keys(embed(flat, starts[item] + shift, size, w, cache), size, w) for w in range(WALKS)])
-            item, shift = np.tile(item, len(keys)), np.tile(shift, len(keys))
+            for k in group.tolist():
+                self.known[self.pair_cells(kept[k][1])] |= np.uint16(1 << GRID.index(size))
+            places = [(k, at) for k in group.tolist() for at in sorted({*range(0, int(lengths[k]) - size, size), int(lengths[k]) - size})]
+            item, shift = np.array(places, np.int32).T
+            at = starts[item] + shift
+            keys = np.concatenate([sampled_keys(embed(flat, at[low : low + AT_ONCE], size, cache), size) for low in range(0, len(at), AT_ONCE)], axis=1)
+            entry = np.tile(np.arange(len(item), dtype=np.int32), len(keys))
             keys = keys.ravel()
             order = np.argsort(keys, kind="stable")
-            self.sizes[size] = (int(lengths[group].min()), int(lengths[group].max()), keys[order], item[order], shift[order])
+            first_bits = np.zeros(1 << KEY_BITS, bool)
+            first_bits[keys >> np.uint64(64 - KEY_BITS)] = True
+            self.sizes[size] = (int(lengths[group].min()), int(lengths[group].max()), first_bits, keys[order], entry[order], item, shift)
 
     @staticmethod
     def pair_cells(words: np.ndarray) -> np.ndarray:
         return (mixed(words[:-1] + words[1:] * np.uint64(3)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
 
     def windows(self, flat: np.ndarray, sums: np.ndarray, size: int, least: int, most: int) -> np.ndarray:
-        """Starts of the windows that can be an item's first or last words, by the known pairs around them."""
+        """Starts of the windows that can be words of an item, by the known pairs around them: for items of up to two windows
+        first or last words, for others any."""
         n = len(flat)
         need = min(m - 1 - 2 * allowed_edits(m, self.max_edit) for m in range(least, most + 1))
         span = most + allowed_edits(most, self.max_edit)
@@ -167,6 +201,9 @@ class Index:
         here = wide[span : span + n]
         after = wide[2 * span : 2 * span + n] - here
         before = wide[span + size : span + size + n] - wide[size : size + n]
+        if most > 2 * size:
+            around = wide[2 * span : 2 * span + n] - wide[size : size + n]
+            return np.flatnonzero((around >= need) & (flat != 0))
         return np.flatnonzero(((after >= need) | (before >= need)) & (flat != 0))
 
     def hits(self, texts: list[np.ndarray]) -> list[dict[int, int]]:
@@ -184,36 +221,42 @@ class Index:
 
     def _search(self, texts: list[np.ndarray], found: list[dict[int, int]]) -> None:
         flat, begin = laid_out(texts, self.gap)
-        known = self.known[self.pair_cells(flat)] & (flat[:-1] != 0) & (flat[1:] != 0)
-        sums = np.concatenate([[0], np.cumsum(known, dtype=np.int32)])
+        known = self.known[self.pair_cells(flat)] * ((flat[:-1] != 0) & (flat[1:] != 0))
         listed: dict[int, list[int]] = {}
         tried: set[tuple[int, int]] = set()
         cache: dict = {}
-        for size, (least, most, keys, items, shifts) in self.sizes.items():
+        for size, (least, most, first_bits, keys, entries, items, shifts) in self.sizes.items():
+            sums = np.concatenate([[0], np.cumsum((known >> np.uint16(GRID.index(size))) & np.uint16(1), dtype=np.int32)])
             at = self.windows(flat, sums, size, least, most)
-            for low in range(0, len(at), 1 << 15):
-                some = at[low : low + (1 << 15)]
-                for walk in range(WALKS):
-                    for row in sampled_keys(embed(flat, some, size, walk, cache), size, walk):
-                        first, last = np.searchsorted(keys, row, "left"), np.searchsorted(keys, row, "right")
-                        for j in np.flatnonzero(last > first).tolist():
-                            for k in range(int(first[j]), int(last[j])):
-                                item, start = int(items[k]), int(some[j] - shifts[k])
-                                if (item, start // 4) in tried:
-                                    continue
-                                tried.add((item, start // 4))
-                                doc = int(np.searchsorted(begin, some[j], "right")) - 1
-                                length = len(self.words[item])
-                                best = found[doc].get(item, allowed_edits(length, self.max_edit) + 1)
-                                if best == 0:
-                                    continue
-                                if doc not in listed:
-                                    listed[doc] = texts[doc].tolist()
-                                room = allowed_edits(length, self.max_edit) + 4
-                                start -= int(begin[doc])
-                                d = edit_distance(self.words[item], listed[doc][max(0, start - room) : max(0, start + length + room)])
-                                if d < best:
-                                    found[doc][item] = d
+            for low in range(0, len(at), AT_ONCE):
+                some = at[low : low + AT_ONCE]
+                row = sampled_keys(embed(flat, some, size, cache), size).ravel()
+                maybe = np.flatnonzero(first_bits[row >> np.uint64(64 - KEY_BITS)])
+                first = np.searchsorted(keys, row[maybe], "left")
+                counts = np.searchsorted(keys, row[maybe], "right") - first
+                entry = entries[np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))]
+                place = np.repeat(some[maybe % len(some)], counts)
+                # Each item and start once, as one number.
+                for code in np.unique((items[entry].astype(np.int64) << 32) + (place - shifts[entry] + self.gap)).tolist():
+                    item, start = code >> 32, (code & 0xFFFFFFFF) - self.gap
+                    if (item, start // 4) not in tried:
+                        tried.add((item, start // 4))
+                        middle = min(max(start + len(self.words[item]) // 2, 0), len(flat) - 1)
+                        self._verify(item, start, int(np.searchsorted(begin, middle, "right")) - 1, texts, begin, listed, found)
+
+    def _verify(self, item: int, start: int, doc: int, texts: list, begin: np.ndarray, listed: dict, found: list) -> None:
+        """Enters the item's edit distance to the stretch of doc near the word `start`, if it is a leak and the best so far."""
+        length = len(self.words[item])
+        best = found[doc].get(item, allowed_edits(length, self.max_edit) + 1)
+        if best == 0:
+            return
+        if doc not in listed:
+            listed[doc] = texts[doc].tolist()
+        room = allowed_edits(length, self.max_edit) + 4
+        start -= int(begin[doc])
+        d = edit_distance(self.words[item], listed[doc][max(0, start - room) : max(0, start + length + room)])
+        if d < best:
+            found[doc][item] = d
 
 
 def item_blocks(benchmark: DataFrame, block: int = ITEM_BLOCK):
