@@ -107,6 +107,17 @@ def test_near(docs, rows, work):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got if r.doc_id is not None)
 
 
+def test_one_row_of_a_group_of_copies_stays(spark, work):
+    rng = random.Random(12)
+    a, b, c, d = (words(rng, 60) for _ in range(4))
+    near = " ".join(["other", *a.split()[1:]])
+    made = [(5, a), (5, a), (5, a), (9, near), (None, a), (None, b), (None, b), (None, b), (7, c), (7, near), (8, d), (8, d), (3, ""), (3, ""), (4, ""), (None, "")]
+    frame = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(made)], "doc_id long, text string, key int").repartition(3)
+    got = near_dedup.without_copies(frame, work)
+    assert got.columns == frame.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted([(5, a), (None, b), (7, c), (8, d), (3, ""), (4, ""), (None, "")], key=repr)
+
+
 @pytest.mark.parametrize("tile", [7, 1000])
 def test_near_tiles_join_all_that_is_linked(spark, tile):
     """Whatever the tile size, the links of all tiles connect what the links of all pairs connect, and are links."""

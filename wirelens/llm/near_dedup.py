@@ -13,8 +13,10 @@ memory, so that no link between components is lost, and only links that join two
 
 Edge cases: a text with fewer words than a shingle is one shingle; one without words, empty or null, has no
 shingles and is linked with nothing. A null doc_id is an unnamed document: it may join a component, and its own
-component_id is null where no named document is reachable. Rows that share a doc_id are one document. Extra
-columns are ignored; an empty table gives an empty result.
+component_id is null where no named document is reachable. Rows that share a doc_id are one document to
+near_duplicates. without_copies, which the pipeline uses, gives each row an identity of its own: repeated rows and
+unnamed ones with one text are copies of each other, and different texts under one doc_id are judged apart. Extra
+columns are ignored or carried along; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -239,16 +241,8 @@ def unconnected_links(rows: DataFrame, sigs: DataFrame, sets: DataFrame, tile: i
     )
 
 
-def without_members(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose node_key() isn't in ids (key): by broadcast below a checked count, else by a shuffle."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    gone = ids.select(F.col("key").alias("__key"))
-    return docs.withColumn("__key", node_key()).join(F.broadcast(gone) if few else gone, "__key", "left_anti").drop("__key")
-
-
-def near_duplicates(docs: DataFrame, work: Work, by_key: bool = False) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text); with by_key, key and kept."""
-    keyed = docs.select(node_key().alias("key"), "text")
+def labelled_rows(keyed: DataFrame, work: Work) -> DataFrame:
+    """key, n (shingles), comp (the smallest key reachable) for every row of keyed (key, text)."""
     rows = work.save(keyed.mapInPandas(_signatures, "key long, n long, fp_a long, fp_b long, sig array<int>"), "signatures")
     classes = work.save(
         rows.where("n > 0").groupBy("fp_a", "fp_b", "n").agg(F.min("key").alias("rep"), F.first("sig").alias("sig")), "classes"
@@ -286,15 +280,40 @@ def near_duplicates(docs: DataFrame, work: Work, by_key: bool = False) -> DataFr
         classes.join(final, F.col("rep") == F.col("node"), "left").select("fp_a", "fp_b", "n", F.coalesce("comp", "rep").alias("comp")), "labels"
     )
     labelled = rows.select("key", "fp_a", "fp_b", "n").join(reps, ["fp_a", "fp_b", "n"], "left")
-    labelled = labelled.withColumn("comp", F.coalesce("comp", "key")).withColumn("kept", F.col("key") == F.col("comp"))
-    if by_key:
-        return labelled.select("key", "kept")
+    return labelled.select("key", "n", F.coalesce("comp", "key").alias("comp"))
+
+
+def near_duplicates(docs: DataFrame, work: Work) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
+    labelled = labelled_rows(docs.select(node_key().alias("key"), "text"), work)
     named = lambda c: F.when(F.col(c) < UNNAMED, F.col(c))
     return labelled.select(
-        named("key").alias("doc_id"), F.col("n").alias("n_shingles"), named("comp").alias("component_id"), "kept"
+        named("key").alias("doc_id"), F.col("n").alias("n_shingles"), named("comp").alias("component_id"), (F.col("key") == F.col("comp")).alias("kept")
     )
 
 
+def without_copies(docs: DataFrame, work: Work) -> DataFrame:
+    """One row of docs of each component: the one with the smallest doc_id, an unnamed one only where none is named.
+
+    Rows without shingles have no copies but for repeated rows of one doc_id.
+    """
+    # Written, so that a row keeps its number.
+    rows = work.save(docs.withColumn("__key", F.monotonically_increasing_id()), "rows")
+    labelled = labelled_rows(rows.select(F.col("__key").alias("key"), "text"), work).select(F.col("key").alias("__key"), "n", "comp")
+    named = rows.select("__key", "doc_id", F.xxhash64("text").alias("fp")).join(labelled, "__key")
+    bare = F.col("n") == 0
+    group = [
+        F.when(~bare | F.col("doc_id").isNull(), F.col("comp")).alias("comp"),
+        F.when(bare, F.col("doc_id")).alias("id"),
+        F.when(bare & F.col("doc_id").isNotNull(), F.col("fp")).alias("fp"),
+    ]
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id"), F.col("__key"))).alias("first")
+    stay = work.save(named.groupBy(*group).agg(first).select("first.__key"), "stay")
+    gone = work.save(labelled.select("__key").join(stay, "__key", "left_anti"), "copies")
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(gone) if few else gone, "__key", "left_anti").drop("__key")
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), Work(spark))
 
