@@ -158,6 +158,15 @@ def test_recall_at_the_limit_of_edits(kind):
     assert found >= decontaminate.TARGET_RECALL * tried
 
 
+def test_short_items_are_found():
+    items = [(0, "solo"), (1, "two words"), (2, "It is here, now!"), (3, "a b c d e"), (4, "..."), (5, "a b c d e f g")]
+    texts = ["a solo act", "two words", "two more words", "well it is HERE now then", "it is now here", "a b x d e", "a b d e", "a b c c d e", "x b c d y", "", "a b c d e f g"]
+    ix = decontaminate.Index(items)
+    hits = ix.hits(decontaminate.batch_word_hashes([decontaminate.normalised(t) for t in texts]))
+    got = [{ix.ids[k]: d for k, d in h.items()} for h in hits]
+    assert got == [{0: 0}, {1: 0}, {}, {2: 0}, {}, {3: 1}, {3: 1}, {3: 1}, {}, {}, {3: 0, 5: 0}]
+
+
 def test_leaks_in_item_blocks(spark):
     docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     whole = sorted(map(tuple, decontaminate.leaks(docs, bench).collect()))

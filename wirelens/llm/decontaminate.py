@@ -17,7 +17,10 @@ punctuation aside) of MAX_EDIT of the item's words. Three steps in one map-only
 The benchmark is read in blocks of ITEM_BLOCK items, whose index goes to every task; each block is a pass over
 the texts. Nothing is shuffled.
 
-Edge cases: items of fewer than MIN_WORDS words say too little and are left out, as are null ones; null and empty
+Items of fewer than MIN_WORDS words need no windows: an edit (five words allow one) leaves the first or the last pair
+of words whole, so each place of one of these is a candidate; an item of one word is looked up itself.
+
+Edge cases: null items and those without a word are left out; null and empty
 texts leak nothing. A repeated document row repeats its hits; repeated items each have their own. Extra columns
 are ignored; empty tables give an empty result.
 """
@@ -158,7 +161,7 @@ class Index:
     def __init__(self, items: list[tuple[int, str | None]], max_edit: float = MAX_EDIT):
         self.max_edit = max_edit
         hashed = batch_word_hashes([normalised(t) for _, t in items])
-        kept = [(i, h) for (i, _), h in zip(items, hashed, strict=True) if len(h) >= MIN_WORDS]
+        kept = [(i, h) for (i, _), h in zip(items, hashed, strict=True) if len(h)]
         self.ids = [i for i, _ in kept]
         self.words = [h.tolist() for _, h in kept]
         lengths = np.array([len(h) for _, h in kept], np.int64)
@@ -170,9 +173,10 @@ class Index:
         #: item and how far in its window starts.
         self.sizes: dict[int, tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         grid = np.array(GRID)
-        size_of = grid[np.searchsorted(grid, lengths, "right") - 1]
+        size_of = np.where(lengths < MIN_WORDS, 0, grid[np.searchsorted(grid, lengths, "right") - 1])
+        self.short = self._short(lengths)
         cache: dict = {}
-        for size in np.unique(size_of).tolist():
+        for size in np.unique(size_of[size_of > 0]).tolist():
             group = np.flatnonzero(size_of == size)
             for k in group.tolist():
                 self.known[self.pair_cells(kept[k][1])] |= np.uint16(1 << GRID.index(size))
@@ -187,6 +191,23 @@ class Index:
             first_bits[keys >> np.uint64(64 - KEY_BITS)] = True
             self.sizes[size] = (int(lengths[group].min()), int(lengths[group].max()), first_bits, keys[order], entry[order], item, shift)
 
+    def _short(self, lengths: np.ndarray) -> dict[bool, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For single words and for pairs: keys (sorted), their items, and how far in these they stand."""
+        out = {}
+        for paired in (False, True):
+            rows = []
+            for k in np.flatnonzero((lengths < MIN_WORDS) & ((lengths > 1) == paired)).tolist():
+                keys = self.short_keys(np.array(self.words[k], np.uint64), paired).tolist()
+                rows += [(keys[at], k, at) for at in sorted({0, len(keys) - 1})]
+            rows.sort()
+            keys, items, shifts = zip(*rows, strict=True) if rows else ((), (), ())
+            out[paired] = (np.array(keys, np.uint64), np.array(items, np.int32), np.array(shifts, np.int32))
+        return out
+
+    @staticmethod
+    def short_keys(words: np.ndarray, paired: bool) -> np.ndarray:
+        return mixed(words[:-1] + words[1:] * np.uint64(3)) if paired else words
+
     @staticmethod
     def pair_cells(words: np.ndarray) -> np.ndarray:
         return (mixed(words[:-1] + words[1:] * np.uint64(3)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
@@ -225,6 +246,15 @@ class Index:
         listed: dict[int, list[int]] = {}
         tried: set[tuple[int, int]] = set()
         cache: dict = {}
+        for paired, (keys, items, shifts) in self.short.items():
+            if not len(keys):
+                continue
+            row = self.short_keys(flat, paired)
+            first, last = np.searchsorted(keys, row, "left"), np.searchsorted(keys, row, "right")
+            for j in np.flatnonzero((last > first) & (flat[: len(row)] != 0)).tolist():
+                doc = int(np.searchsorted(begin, j, "right")) - 1
+                for k in range(int(first[j]), int(last[j])):
+                    self._verify(int(items[k]), j - int(shifts[k]), doc, texts, begin, listed, found)
         for size, (least, most, first_bits, keys, entries, items, shifts) in self.sizes.items():
             sums = np.concatenate([[0], np.cumsum((known >> np.uint16(GRID.index(size))) & np.uint16(1), dtype=np.int32)])
             at = self.windows(flat, sums, size, least, most)
