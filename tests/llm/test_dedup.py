@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wirelens.llm import exact_dedup, line_dedup, near_dedup, suffix_dedup, suffixes
 from wirelens.llm.common import Work
+from wirelens.llm.components import components
 
 SCHEMA = "doc_id long, text string, source string, key long, hash long, no int, block long, rep long"
 
@@ -79,32 +80,68 @@ def shingle_set(text):
 
 
 def near_brute(rows):
-    """key -> component, with unnamed documents under keys of their own."""
-    nodes = [(last(i), shingle_set(t), i) for i, t in rows]
-    parent = {}
+    """(doc_id, n_shingles, component_id, kept) of each row; rows are linked by their sets, and by a doc_id that they share."""
+    sets = [shingle_set(t) for _, t in rows]
+    parent = list(range(len(rows)))
 
     def root(x):
-        while parent.setdefault(x, x) != x:
+        while parent[x] != x:
             x = parent[x]
         return x
 
-    keys = [i if i is not None else ("u", t) for (i, t) in rows]
-    rank = lambda k: (isinstance(k, tuple), k if not isinstance(k, tuple) else 0)
     for a in range(len(rows)):
         for b in range(a):
-            x, y = nodes[a][1], nodes[b][1]
-            if x and y and 100 * len(x & y) >= 75 * len(x | y):
-                ra, rb = root(keys[a]), root(keys[b])
-                if ra != rb:
-                    lo, hi = sorted((ra, rb), key=rank)
-                    parent[hi] = lo
-    return [(i, len(n[1]), None if isinstance(root(k), tuple) else root(k)) for (i, _), n, k in zip(rows, nodes, keys, strict=True)]
+            x, y = sets[a], sets[b]
+            same = rows[a][0] is not None and rows[a][0] == rows[b][0]
+            if x and y and (same or 100 * len(x & y) >= 75 * len(x | y)):
+                parent[root(a)] = root(b)
+    named = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            named[root(k)] = min(i, named.get(root(k), i))
+    return [(i, len(sets[k]), named.get(root(k)), i == named.get(root(k))) for k, (i, _) in enumerate(rows)]
+
+
+def near_rows(frame):
+    return sorted(map(tuple, frame.select("doc_id", "n_shingles", "component_id", "kept").collect()), key=repr)
 
 
 def test_near(docs, rows, work):
-    got = near_dedup.near_duplicates(docs, work).collect()
-    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == sorted(near_brute(rows), key=repr)
-    assert all(r.kept == (r.doc_id == r.component_id) for r in got if r.doc_id is not None)
+    assert near_rows(near_dedup.near_duplicates(docs, work)) == sorted(near_brute(rows), key=repr)
+
+
+def test_near_with_large_and_shared_ids(spark, work):
+    """Any long is a doc_id, and rows that share one are linked through it."""
+    rng = random.Random(13)
+    t, u, v = (words(rng, 40) for _ in range(3))
+    top = (1 << 63) - 1
+    made = [(1 << 62, t), ((1 << 62) + 5, u), (3, t), (7, t), (7, u), (9, u), (top, v), (-(1 << 63), v), (7, ""), (None, u), (None, "x y")]
+    frame = spark.createDataFrame(made, "doc_id long, text string").repartition(4)
+    got = near_rows(near_dedup.near_duplicates(frame, work))
+    assert got == sorted(near_brute(made), key=repr)
+    assert {r[2] for r in got if r[0] in (3, 7, 9) and r[1]} == {3}
+
+
+def test_components_of_links(spark, work):
+    rng = random.Random(14)
+    links = [(0, k) for k in range(1, 200)] + [(k, k + 1) for k in range(300, 380)] + [(500 + rng.randrange(80), 500 + rng.randrange(80)) for _ in range(60)]
+    links += [(9000 - k, 1000 + rng.randrange(6)) for k in range(50)] + [(1, 1), (2, 0), (-5, 1 << 62)]
+    got = {r.node: r.comp for r in components(spark.createDataFrame(links, "a long, b long").repartition(3), work).collect()}
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        parent[root(a)] = root(b)
+    groups = {}
+    for x in list(parent):
+        groups.setdefault(root(x), set()).add(got.get(x, x))
+    assert all(len(g) == 1 for g in groups.values())
+    assert len({min(g) for g in groups.values()}) == len(groups)
+    assert components(spark.createDataFrame([], "a long, b long"), work).count() == 0
 
 
 def test_one_row_of_a_group_of_copies_stays(spark, work):
@@ -116,6 +153,8 @@ def test_one_row_of_a_group_of_copies_stays(spark, work):
     got = near_dedup.without_copies(frame, work)
     assert got.columns == frame.columns
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted([(5, a), (None, b), (7, c), (8, d), (3, ""), (4, ""), (None, "")], key=repr)
+    again = spark.createDataFrame([(3, a), (7, a), (7, b), (9, b)], "doc_id long, text string")
+    assert sorted(map(tuple, near_dedup.without_copies(again, work).collect())) == [(3, a), (7, b)]
 
 
 @pytest.mark.parametrize("tile", [7, 1000])
@@ -129,12 +168,13 @@ def test_near_tiles_join_all_that_is_linked(spark, tile):
         for _ in range(rng.randint(2, 5)):
             copy[rng.randrange(150)] = f"q{k}x{rng.randrange(9)}"
         made.append((k, " ".join(copy)))
-    docs = spark.createDataFrame(made, "doc_id long, text string").select(F.col("doc_id").alias("key"), "text")
+    docs = spark.createDataFrame(made, "rep long, text string")
     want = {(a, b) for b in range(60) for a in range(b) if 100 * len((x := shingle_set(made[a][1])) & (y := shingle_set(made[b][1]))) >= 75 * len(x | y)}
-    sigs = docs.mapInPandas(near_dedup._signatures, "key long, n long, fp_a long, fp_b long, sig array<int>").select(F.col("key").alias("rep"), "sig").cache()
-    sets = docs.mapInPandas(near_dedup._sets, "key long, items array<long>").cache()
+    signed = docs.mapInArrow(near_dedup._signatures, f"rep long, {near_dedup.SIGNED}").cache()
+    sigs = signed.select("rep", "sig")
+    sets = docs.mapInPandas(near_dedup._sets, "digest binary, items array<long>").join(signed, "digest").select("rep", "items").cache()
     band = F.expr("transform(sequence(0, 31), b -> xxhash64(b, slice(sig, b * 4 + 1, 4)))")
-    rows = sigs.select("rep", F.posexplode_outer(band).alias("band", "bucket")).withColumn("comp", F.col("rep")).withColumn("size", F.lit(60).cast("long"))
+    rows = sigs.select("rep", F.posexplode_outer(band).alias("band", "bucket")).withColumn("comp", F.col("rep")).withColumn("size", F.lit(60).cast("long")).withColumn("shingles", F.lit(9000).cast("long"))
     got = {(r.a, r.b) for r in near_dedup.unconnected_links(rows, sigs, sets, tile).collect()}
 
     def groups(links):

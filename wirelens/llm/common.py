@@ -45,22 +45,38 @@ class Work:
         self.spark = spark
         self.root = f"{shared_root(spark)}/wirelens-{uuid.uuid4().hex}"
         self.written = 0
+        self.live: list[str] = []
 
     def save(self, df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
         self.written += 1
         path = f"{self.root}/{self.written:03d}-{label}"
         df.write.option("compression", compression).parquet(path)
+        if not self.live:
+            where, store = self._store(self.root)
+            store.deleteOnExit(where)
+        self.live.append(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         back._work_path = path
         return back
 
+    def _store(self, path: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where, where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that no pending result reads any more."""
-        jvm = self.spark._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for table in tables:
-            where = jvm.org.apache.hadoop.fs.Path(table._work_path)
-            where.getFileSystem(conf).delete(where, True)
+            self.live.remove(table._work_path)
+            where, store = self._store(table._work_path)
+            store.delete(where, True)
+
+    def keep_only(self, *tables: DataFrame) -> None:
+        """Deletes all tables but those that the result reads; these go when the application ends."""
+        kept = {t._work_path for t in tables}
+        for path in [p for p in self.live if p not in kept]:
+            self.live.remove(path)
+            where, store = self._store(path)
+            store.delete(where, True)
 
 
 def default_partitions(spark: SparkSession) -> int:

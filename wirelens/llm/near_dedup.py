@@ -1,37 +1,42 @@
 """MinHash near-dedup with sequential Bayesian verification.
 
-Documents are linked when the sets of their 5-word shingles have a Jaccard similarity of 0.75 or more. One pass
-makes a signature of 128 minimum hashes per document; equal sets collapse into one class. 32 bands of 4 rows
-give candidates: two documents at the threshold share a band but for 5 in a million. A candidate pair's
-signatures are compared 16 hashes at a time, and the pair is dropped as soon as the posterior probability that
-it reaches the threshold (uniform prior) is below MISS; what survives is verified on the full shingle sets.
+Documents are linked when the sets of their 5-word shingles have a Jaccard similarity of 0.75 or more. One pass makes a
+signature of 128 minimum hashes per row; rows with equal sets, told by a SHA-256 of the whole sorted set, are one
+class, and classes have numbers of their own: a doc_id names no class. 32 bands of 4 rows give candidates: two
+documents at the threshold share a band but for 5 in a million. A candidate pair's signatures are compared 16 hashes
+at a time, and the pair is dropped as soon as the posterior probability that it reaches the threshold (uniform prior) is
+below MISS; what survives is verified on the full shingle sets.
 
 A bucket of many members isn't expanded into all its pairs. First every member is compared with the bucket's
 centre, the member that shares the largest buckets, then with a random member; a group of copies becomes one
-component that way. At last the members of a bucket that still aren't connected are compared and verified in tiles, in
+component that way. Links between components are all that a round hands on, and their spanning forest all that
+stays of them. At last the members of a bucket that still aren't connected are compared and verified in tiles, in
 memory, so that no link between components is lost, and only links that join two components become rows.
 
 Edge cases: a text with fewer words than a shingle is one shingle; one without words, empty or null, has no
-shingles and is linked with nothing. A null doc_id is an unnamed document: it may join a component, and its own
-component_id is null where no named document is reachable. Rows that share a doc_id are one document to
-near_duplicates. without_copies, which the pipeline uses, gives each row an identity of its own: repeated rows and
-unnamed ones with one text are copies of each other, and different texts under one doc_id are judged apart. Extra
-columns are ignored or carried along; an empty table gives an empty result.
+shingles, is linked with nothing and is a component of its own. Rows that share a doc_id are one document to
+near_duplicates: what one of them is linked with, all are. A null doc_id is an unnamed document: it may join a component,
+and its component_id is null where no named document is reachable; kept is then true. without_copies, which
+the pipeline uses, judges every row by its text alone: repeated rows and unnamed ones with one text are copies of each
+other, and different texts under one doc_id are judged apart. Extra columns are ignored or carried along; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Work, read_table
-from .components import components
-from .shingles import batch_word_hashes, mixed, shingles_of
+from .components import components, relabelled
+from .shingles import batch_word_hashes, shingles_of
 
 SHINGLE = 5
 HASHES = 128
@@ -44,15 +49,10 @@ MISS = 1e-6
 BROADCAST_IDS = 500_000
 #: Rounds in which a bucket's members are compared with one of them.
 STARS = 3
-#: Members of a bucket that are compared with each other within one task.
+#: Members of a bucket that are compared with each other within one task, and the shingles that they may have on average.
 TILE = 1024
-#: Unnamed documents are keyed from here on.
-UNNAMED = 1 << 62
-
-
-def node_key():
-    """doc_id, or for a null one a number above all ids that follows from the text."""
-    return F.coalesce(F.col("doc_id"), F.lit(UNNAMED) + F.pmod(F.xxhash64("text"), F.lit(UNNAMED - 1)))
+TILE_SHINGLES = 2_000_000
+SIGNED = "n long, digest binary, sig array<int>"
 
 
 def _signer():
@@ -71,25 +71,28 @@ def _signer():
     return sign
 
 
-def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _digest(unique: np.ndarray) -> bytes:
+    return hashlib.sha256(unique.tobytes()).digest()
+
+
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The columns but text, with n, digest and sig; a text without shingles has neither digest nor sig."""
     sign = _signer()
-    for pdf in batches:
+    for batch in batches:
         out = []
-        for words in batch_word_hashes(pdf["text"].tolist()):
+        for words in batch_word_hashes(batch.column("text").to_pylist()):
             unique = np.unique(shingles_of(words, SHINGLE))
-            if len(unique):
-                a, b = unique.sum(dtype=np.uint64), mixed(unique ^ np.uint64(0x5DEECE66D)).sum(dtype=np.uint64)
-                out.append((len(unique), int(a.view(np.int64)), int(b.view(np.int64)), sign(unique)))
-            else:
-                out.append((0, 0, 0, None))
-        n, a, b, s = zip(*out, strict=True) if out else ((), (), (), ())
-        yield pd.DataFrame({"key": pdf["key"], "n": n, "fp_a": a, "fp_b": b, "sig": pd.Series(s, dtype=object, index=pdf.index)})
+            out.append((len(unique), _digest(unique), sign(unique)) if len(unique) else (0, None, None))
+        n, digests, sigs = zip(*out, strict=True) if out else ((), (), ())
+        kept = [name for name in batch.schema.names if name != "text"]
+        made = [pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, kept), *made], [*kept, "n", "digest", "sig"])
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        sets = [np.unique(shingles_of(w, SHINGLE)).view(np.int64) for w in batch_word_hashes(pdf["text"].tolist())]
-        yield pd.DataFrame({"key": pdf["key"], "items": pd.Series(sets, dtype=object, index=pdf.index)})
+        sets = [np.unique(shingles_of(w, SHINGLE)) for w in batch_word_hashes(pdf["text"].tolist())]
+        yield pd.DataFrame({"digest": [_digest(x) for x in sets], "items": pd.Series([x.view(np.int64) for x in sets], dtype=object)})
 
 
 def least_matches(percent: int = PERCENT, miss: float = MISS) -> list[int]:
@@ -119,36 +122,36 @@ def _survivors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             part = slice(k * STEP, (k + 1) * STEP)
             matches = matches + (left[alive, part] == right[alive, part]).sum(axis=1)
             alive, matches = alive[matches >= need], matches[matches >= need]
-        yield pdf[["a", "b"]].iloc[alive]
+        yield pdf[["a", "b", "ca", "cb"]].iloc[alive]
 
 
-def members(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose key is in ids (key): by broadcast below a checked count, else by a shuffle."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "key", "left_semi")
+def few_enough(ids: DataFrame) -> DataFrame:
+    """ids, marked for a broadcast below a checked count; beyond it a join with them shuffles."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
 
 
 def verified(pairs: DataFrame, sets: DataFrame, work: Work) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
-    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("items").alias("items_a")), "a").join(
-        sets.select(F.col("key").alias("b"), F.col("items").alias("items_b")), "b"
+    """The links (a, b) between components that pairs (a, b, ca, cb) make whose full sets reach the threshold."""
+    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("items").alias("items_a")), "a").join(
+        sets.select(F.col("rep").alias("b"), F.col("items").alias("items_b")), "b"
     )
     shared = both.withColumn("i", F.size(F.array_intersect("items_a", "items_b")).cast("long")).withColumn(
         "u", F.size("items_a") + F.size("items_b") - F.col("i")
     )
-    return work.save(shared.where(F.col("i") * 100 >= F.col("u") * PERCENT).select("a", "b").distinct(), "links")
+    reach = shared.where(F.col("i") * 100 >= F.col("u") * PERCENT)
+    return work.save(reach.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), "links")
 
 
 def compared(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that the sequential comparison of their signatures lets through."""
+    """The pairs (a, b, ca, cb) that the sequential comparison of their signatures lets through."""
     signed = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a").join(
         sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b"
     )
-    return signed.select("a", "b", "sig_a", "sig_b").mapInPandas(_survivors, "a long, b long")
+    return signed.select("a", "b", "ca", "cb", "sig_a", "sig_b").mapInPandas(_survivors, "a long, b long, ca long, cb long")
 
 
 def _tile_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (bucket, i, j, t, band, rep, comp, sig, items), sorted by tile: links that join the tile's components.
+    """Rows (bucket, i, j, t, band, rep, comp, sig, items), sorted by tile: links between its components that join them.
 
     Pairs of different components are compared by signature; those let through are verified on the full sets, the most
     alike first, until their components are joined. A pair that shares several bands is looked at in the first of them
@@ -194,7 +197,7 @@ def _tile_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 cu, cv = root(int(comp[u])), root(int(comp[v]))
                 if cu != cv and linked(items[u], items[v]):
                     parent[max(cu, cv)] = min(cu, cv)
-                    out.append((min(rep[u], rep[v]), max(rep[u], rep[v])))
+                    out.append((min(comp[u], comp[v]), max(comp[u], comp[v])))
         return pd.DataFrame(out, columns=["a", "b"])
 
     for pdf in batches:
@@ -223,17 +226,17 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def unconnected_links(rows: DataFrame, sigs: DataFrame, sets: DataFrame, tile: int = TILE) -> DataFrame:
-    """Links (a, b) that join components of rows(bucket, band, rep, comp, size) which share a bucket.
+    """Links (a, b) between components of rows(bucket, band, rep, comp, size, shingles) which share a bucket.
 
-    A bucket is cut into tiles of `tile` members; every two tiles meet in one task, where their pairs are looked at in
-    memory. Signatures and sets go along, and only links that join two components become rows.
+    A bucket is cut into tiles of `tile` members (fewer, if their sets are large); every two tiles meet in one task, where
+    their pairs are looked at in memory. Signatures and sets go along, and only links that join two components become rows.
     """
-    cells = F.ceil(F.col("size") / tile)
+    cells = F.ceil(F.greatest(F.col("size") / tile, F.col("shingles") / TILE_SHINGLES))
     placed = rows.withColumn("t", F.pmod(F.xxhash64("rep"), cells)).withColumn("o", F.explode(F.sequence(F.lit(0), cells.cast("int") - 1)))
     tiles = placed.select("bucket", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", "band", "rep", "comp")
     return (
         tiles.join(sigs, "rep")
-        .join(sets.select(F.col("key").alias("rep"), F.sort_array("items").alias("items")), "rep")
+        .join(sets.select("rep", F.sort_array("items").alias("items")), "rep")
         .select("bucket", "i", "j", "t", "band", "rep", "comp", "sig", "items")
         .repartition("bucket", "i", "j")
         .sortWithinPartitions("bucket", "i", "j")
@@ -241,54 +244,84 @@ def unconnected_links(rows: DataFrame, sigs: DataFrame, sets: DataFrame, tile: i
     )
 
 
-def labelled_rows(keyed: DataFrame, work: Work) -> DataFrame:
-    """key, n (shingles), comp (the smallest key reachable) for every row of keyed (key, text)."""
-    rows = work.save(keyed.mapInPandas(_signatures, "key long, n long, fp_a long, fp_b long, sig array<int>"), "signatures")
-    classes = work.save(
-        rows.where("n > 0").groupBy("fp_a", "fp_b", "n").agg(F.min("key").alias("rep"), F.first("sig").alias("sig")), "classes"
-    )
+def linked_classes(docs: DataFrame, classes: DataFrame, work: Work) -> list[DataFrame]:
+    """Steps (node, comp) of classes into components, to be applied one after the other; docs (doc_id, th, text) has the texts.
+
+    classes: rep, digest, n, sig and at, the doc_id and text hash of one of its rows.
+    """
     bands = classes.select(
-        "rep", F.posexplode_outer(F.expr(f"transform(sequence(0, {HASHES // ROWS - 1}), b -> xxhash64(b, slice(sig, b * {ROWS} + 1, {ROWS})))")).alias("band", "bucket")
+        "rep", "n", F.posexplode_outer(F.expr(f"transform(sequence(0, {HASHES // ROWS - 1}), b -> xxhash64(b, slice(sig, b * {ROWS} + 1, {ROWS})))")).alias("band", "bucket")
     )
     # Aggregates are written before they are joined: the join's exchanges can then be split where a key is hot.
-    sizes = work.save(bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
-    places = work.save(bands.join(sizes, "bucket"), "buckets")
+    sizes = work.save(bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles")).where("size > 1"), "sizes")
+    places = work.save(bands.drop("n").join(sizes, "bucket"), "buckets")
     weights = work.save(places.groupBy("rep").agg(F.sum("size").alias("weight")), "weights")
-    sigs = work.save(classes.join(weights, "rep").select("rep", "sig"), "signed")
-    found_sets = members(keyed, weights.select(F.col("rep").alias("key"))).mapInPandas(_sets, "key long, items array<long>")
-    sets = work.save(found_sets.groupBy("key").agg(F.first("items").alias("items")), "sets")  # repeated rows give one
-    links = known = None
+    candidates = work.save(classes.join(weights, "rep").select("rep", "digest", "sig", "at.doc_id", "at.th"), "candidates")
+    sigs = candidates.select("rep", "sig")
+    where = few_enough(candidates.select(F.col("doc_id").alias("of"), F.col("th").alias("hash")).distinct())
+    texts = docs.join(where, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("th") == F.col("hash")), "left_semi").select("text")
+    found = texts.mapInPandas(_sets, "digest binary, items array<long>").groupBy("digest").agg(F.first("items").alias("items"))
+    sets = work.save(found.join(candidates.select("rep", "digest"), "digest").select("rep", "items"), "sets")
+    steps = []
     open_places = places.withColumn("comp", F.col("rep"))
     for turn in range(STARS):
         # Who is the bucket's centre: first the member that shares the largest buckets, then any one.
         ranked = open_places.join(weights, "rep") if turn == 0 else open_places.withColumn("weight", F.xxhash64("bucket", "rep", F.lit(turn)))
         centres = work.save(ranked.groupBy("bucket").agg(F.max(F.struct("weight", "rep", "comp")).alias("m")), "centres")
         star = open_places.join(centres, "bucket").where(F.col("comp") != F.col("m.comp"))
-        pairs = star.select(F.least("rep", "m.rep").alias("a"), F.greatest("rep", "m.rep").alias("b")).distinct()
-        found = verified(work.save(compared(pairs, sigs), "survivors"), sets, work)
-        links = found if links is None else links.unionByName(found)
-        known = components(links, work)
-        labelled = places.where("size > 2").join(known, F.col("rep") == F.col("node"), "left").select("bucket", "band", "rep", "size", F.coalesce("comp", "rep").alias("comp"))
-        split = labelled.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bucket")
-        open_places = work.save(labelled.join(work.save(split, "split"), "bucket"), "open")
+        ends = lambda f: f(F.struct("rep", "comp"), F.struct("m.rep", "m.comp"))
+        pairs = star.select(ends(F.least).alias("x"), ends(F.greatest).alias("y")).distinct().select(
+            F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.comp").alias("ca"), F.col("y.comp").alias("cb")
+        )
+        step = components(verified(work.save(compared(pairs, sigs), "survivors"), sets, work), work)
+        steps.append(step)
+        labelled = relabelled(open_places.where("size > 2"), "comp", step)
+        split = work.save(labelled.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bucket"), "split")
+        open_places = work.save(labelled.join(split, "bucket"), "open")
         if not open_places.limit(1).count():
-            break
+            return steps
     # What is left: members of one bucket that still aren't connected.
-    across = work.save(unconnected_links(open_places, sigs, sets).distinct(), "links")
-    final = components(links.unionByName(across), work)
-    reps = work.save(
-        classes.join(final, F.col("rep") == F.col("node"), "left").select("fp_a", "fp_b", "n", F.coalesce("comp", "rep").alias("comp")), "labels"
-    )
-    labelled = rows.select("key", "fp_a", "fp_b", "n").join(reps, ["fp_a", "fp_b", "n"], "left")
-    return labelled.select("key", "n", F.coalesce("comp", "key").alias("comp"))
+    return [*steps, components(work.save(unconnected_links(open_places, sigs, sets).distinct(), "links"), work)]
+
+
+def with_classes(rows: DataFrame, docs: DataFrame, work: Work) -> DataFrame:
+    """rep, digest, comp (a class's number, that of one of its component) and id (its smallest doc_id).
+
+    rows (doc_id, th, n, digest, sig) are what _signatures makes of docs (doc_id, th, text).
+    """
+    grouped = rows.where("n > 0").groupBy("digest").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.min(F.struct("doc_id", "th")).alias("at"), F.min("doc_id").alias("id"))
+    classes = work.save(grouped.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    named = classes.select("rep", "digest", "id", F.col("rep").alias("comp"))
+    for step in linked_classes(docs, classes, work):
+        named = relabelled(named, "comp", step)
+    return work.save(named, "components")
+
+
+def signed(docs: DataFrame, work: Work) -> DataFrame:
+    """What _signatures makes of docs, written."""
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
+    return work.save(docs.mapInArrow(_signatures, f"{kept}, {SIGNED}"), "signatures")
 
 
 def near_duplicates(docs: DataFrame, work: Work) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
-    labelled = labelled_rows(docs.select(node_key().alias("key"), "text"), work)
-    named = lambda c: F.when(F.col(c) < UNNAMED, F.col(c))
-    return labelled.select(
-        named("key").alias("doc_id"), F.col("n").alias("n_shingles"), named("comp").alias("component_id"), (F.col("key") == F.col("comp")).alias("kept")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    rows = signed(texts, work)
+    classes = with_classes(rows, texts, work)
+    # Different texts under one doc_id: each of their components is linked with the least of them.
+    spread = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high")
+    shared = rows.where("n > 0").select("doc_id", "digest").join(work.save(spread.select("doc_id"), "shared"), "doc_id").distinct()
+    owners = work.save(shared.join(classes.select("digest", "comp"), "digest").select("doc_id", "comp").distinct(), "owners")
+    first = owners.groupBy("doc_id").agg(F.min("comp").alias("b"))
+    classes = relabelled(classes, "comp", components(owners.join(first, "doc_id").select(F.col("comp").alias("a"), "b"), work))
+    least = work.save(classes.groupBy("comp").agg(F.min("id").alias("component")), "least")
+    labels = work.save(classes.join(least, "comp").select("digest", "component"), "labels")
+    work.keep_only(rows, labels)
+    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
+    return (
+        rows.select("doc_id", "n", "digest")
+        .join(labels, "digest", "left")
+        .select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
     )
 
 
@@ -299,19 +332,17 @@ def without_copies(docs: DataFrame, work: Work) -> DataFrame:
     """
     # Written, so that a row keeps its number.
     rows = work.save(docs.withColumn("__key", F.monotonically_increasing_id()), "rows")
-    labelled = labelled_rows(rows.select(F.col("__key").alias("key"), "text"), work).select(F.col("key").alias("__key"), "n", "comp")
-    named = rows.select("__key", "doc_id", F.xxhash64("text").alias("fp")).join(labelled, "__key")
-    bare = F.col("n") == 0
-    group = [
-        F.when(~bare | F.col("doc_id").isNull(), F.col("comp")).alias("comp"),
-        F.when(bare, F.col("doc_id")).alias("id"),
-        F.when(bare & F.col("doc_id").isNotNull(), F.col("fp")).alias("fp"),
-    ]
+    texts = rows.select("__key", "doc_id", F.xxhash64("text").alias("th"), "text")
+    marks = signed(texts, work)
+    labels = with_classes(marks, texts, work).select("digest", "comp")
+    solid = marks.where("n > 0").select("__key", "doc_id", "digest").join(labels, "digest").select("comp", "doc_id", "__key")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id"), F.col("__key"))).alias("first")
-    stay = work.save(named.groupBy(*group).agg(first).select("first.__key"), "stay")
-    gone = work.save(labelled.select("__key").join(stay, "__key", "left_anti"), "copies")
-    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return rows.join(F.broadcast(gone) if few else gone, "__key", "left_anti").drop("__key")
+    best = solid.groupBy("comp").agg(first)
+    bare = marks.where("n = 0 AND doc_id IS NOT NULL").groupBy("doc_id", "th").agg(first)
+    stay = work.save(best.select("first.__key").unionByName(bare.select("first.__key")), "stay")
+    gone = work.save(marks.where("n > 0 OR doc_id IS NOT NULL").select("__key").join(stay, "__key", "left_anti"), "copies")
+    work.keep_only(rows, gone)
+    return rows.join(few_enough(gone), "__key", "left_anti").drop("__key")
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
