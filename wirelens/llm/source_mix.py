@@ -208,13 +208,13 @@ def _rounds_sql() -> str:
         key = draw(f"'key|' || sno || '|' || turn || '|{r}'")
         bit = draw(f"'bit|' || sno || '|' || turn || '|{r}|' || greatest(x, y)")
         parts.append(
-            f"q{r} AS (SELECT *, (({key} - x) % blocks + blocks) % blocks AS y FROM p{r - 1}), "
-            f"p{r} AS (SELECT sno, blocks, turn, CASE WHEN {bit} % 2 = 1 THEN y ELSE x END AS x FROM q{r})"
+            f"q{r} AS MATERIALIZED (SELECT *, (({key} - x) % blocks + blocks) % blocks AS y FROM p{r - 1}), "
+            f"p{r} AS MATERIALIZED (SELECT sno, blocks, turn, CASE WHEN {bit} % 2 = 1 THEN y ELSE x END AS x FROM q{r})"
         )
     return ",\n".join(parts)
 
 
-#: The same mix in plain SQL; a slot's rank among its source's slots is taken over all slots at once.
+#: The same mix in plain SQL, each round of the permutation once; a slot's rank among its source's slots is taken over all slots at once.
 ORACLE = rf"""
 WITH z AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM z GROUP BY source),
@@ -234,7 +234,7 @@ b AS (SELECT plan.sno, quota, blocks, coalesce(drawn, 0) AS drawn, greatest(coal
 a AS (SELECT *, sum(over) OVER (ORDER BY sno) - over AS over_low, sum(under) OVER (ORDER BY sno) AS under_upto, sum(under) OVER (ORDER BY sno) - under AS under_low FROM b),
 e AS (SELECT r.sno, k, quota, over_low + k - quota AS j FROM r JOIN a ON r.sno = a.sno),
 o AS (SELECT sno, k FROM e WHERE k < quota UNION ALL SELECT a.sno, a.drawn + e.j - a.under_low FROM e JOIN a ON e.k >= e.quota AND e.j >= a.under_low AND e.j < a.under_upto),
-p0 AS (SELECT o.sno, blocks, (k // blocks)::BIGINT AS turn, (k % blocks)::BIGINT AS x FROM o JOIN a ON o.sno = a.sno),
+p0 AS MATERIALIZED (SELECT o.sno, blocks, (k // blocks)::BIGINT AS turn, (k % blocks)::BIGINT AS x FROM o JOIN a ON o.sno = a.sno),
 {_rounds_sql()},
 m AS (SELECT sno, x AS block, count(*) AS times FROM p{ROUNDS} GROUP BY 1, 2),
 h AS (SELECT z.doc_id, sno, size, ('0x' || substr(md5('order|' || coalesce(z.doc_id::VARCHAR, '~')), 1, 15))::BIGINT AS h FROM z JOIN plan ON z.source IS NOT DISTINCT FROM plan.source),
