@@ -282,6 +282,29 @@ def test_quality_of_odd_rows(spark):
     assert quality.scored(df.limit(0), none).count() == 0
 
 
+def test_the_fit_takes_long_texts_and_a_doc_id_once(spark, monkeypatch):
+    """Long texts are fitted on, within the lines allowed in all; repeated rows don't push others out."""
+    good, bad = "\n".join(["A fine line of plain words."] * 600), "\n".join(["$$$ 99 ||| BUY!!! 00"] * 600)
+    docs = [(k, good if k % 2 else bad) for k in range(40)] + [(k, bad) for k in (0, 2, 4) for _ in range(50)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)] + [(0, 0)] * 100, "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda counts, lines_of, q: seen.append((len(counts), lines_of.tolist(), q.tolist())))
+    quality.train(frame, labels)
+    n, lines_of, q = seen.pop()
+    assert n == sum(lines_of) == 600 * len(q)
+    assert {0, 1} == set(q)
+    assert len(q) > 25  # all that aren't held out
+    quality.train(frame, labels, lines=1900)
+    assert seen.pop()[1] == [600] * 3
+    quality.train(frame, labels, lines=100)
+    assert seen.pop()[1] == [600]
+    monkeypatch.undo()
+    texts = [good, bad, good[:10_000] * 3, "", None]
+    scores = quality.score_texts(texts, quality.train(frame, labels))
+    assert scores[0] == pytest.approx(scores[2], abs=0.05) and scores[0] > 0.9 > 0.1 > scores[1]
+
+
 # --- mixing
 
 

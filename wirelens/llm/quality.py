@@ -6,8 +6,10 @@ line labels start as their document's and are refined: lines of a bad document t
 from the marginals before the next fit. A document's quality is the mean probability of "good" over its lines,
 weighed by length, put through a logistic curve that is fitted to the training documents.
 
-The model is fitted on the driver from a bounded sample (TRAIN_DOCS labelled rows of at most TRAIN_LINES lines,
-features only); scoring reads whole texts, in slices, within a map-only pass.
+The model is fitted on the driver from a bounded sample of labelled rows: TRAIN_DOCS at most, by a hash of doc_id, and of
+these as many as TRAIN_LINES lines allow in all, in the same order and whatever their length; one text longer than that
+gives its first TRAIN_LINES lines to the fit if it comes first. Executors send line counts, packed. Scoring reads whole
+texts, in slices, within a map-only pass.
 
 Edge cases: null and empty texts are one blank line and get that line's score. With no labels, or labels of one
 kind only, every score is 0.5. A null doc_id is never held out. Repeated rows get equal scores; extra columns are
@@ -22,11 +24,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import read_table
 
 TRAIN_DOCS = 4000
-TRAIN_LINES = 2000
+#: Lines in all that the fit gets, 88 bytes each.
+TRAIN_LINES = 60_000
 FOLDS = 5
 THRESHOLD = 0.3
 ROUNDS = 3
@@ -217,33 +221,40 @@ def fold(doc_id: str = "doc_id"):
 def _train_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
-        for doc_id, quality, text in zip(pdf["doc_id"], pdf["quality"], pdf["text"], strict=True):
-            counts, lines_of = line_counts([text])
-            if lines_of[0] <= TRAIN_LINES:
-                rows.append((doc_id, quality, counts.ravel().tolist()))
-        yield pd.DataFrame(rows, columns=["doc_id", "quality", "counts"])
+        for doc_id, quality, th, text in zip(pdf["doc_id"], pdf["quality"], pdf["th"], pdf["text"], strict=True):
+            counts, _ = line_counts([text])
+            rows.append((doc_id, quality, th, len(counts), counts[:TRAIN_LINES].tobytes()))
+        yield pd.DataFrame(rows, columns=["doc_id", "quality", "th", "lines", "counts"])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = TRAIN_DOCS) -> dict | None:
-    """Fits on at most `sample` labelled documents outside the held-out fold, chosen by a hash of doc_id."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = TRAIN_DOCS, lines: int = TRAIN_LINES) -> dict | None:
+    """Fits on at most `sample` labelled documents outside the held-out fold, chosen by a hash of doc_id, of `lines` lines in all.
+
+    A doc_id counts once: the least of its labels, and of its texts the first by hash.
+    """
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = (
         labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold() != 0))
-        .select("doc_id", F.col("quality").cast("int").alias("quality"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "quality")
+        .groupBy("doc_id")
+        .agg(F.min("quality").cast("int").alias("quality"))
+        .orderBy(*order)
         .limit(sample)
     )
-    rows = (
-        docs.select("doc_id", "text")
+    counted = (
+        docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
         .join(F.broadcast(chosen), "doc_id")  # at most `sample` rows
-        .select("doc_id", "quality", "text")
-        .mapInPandas(_train_rows, "doc_id long, quality int, counts array<long>")
-        .orderBy("doc_id", "quality")
-        .limit(2 * sample)
-        .collect()
+        .select("doc_id", "quality", "th", "text")
+        .mapInPandas(_train_rows, "doc_id long, quality int, th long, lines long, counts binary")
+        .groupBy("doc_id", "quality")
+        .agg(F.min(F.struct("th", "lines", "counts")).alias("t"))
+        .select("doc_id", "quality", "t.lines", "t.counts")
     )
+    # Within a running sum of lines; the first one always is.
+    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = counted.withColumn("upto", F.sum("lines").over(before)).withColumn("turn", F.row_number().over(before)).where((F.col("upto") <= lines) | (F.col("turn") == 1)).collect()
     if not rows:
         return None
-    counts = [np.array(r.counts, np.int64).reshape(-1, _KINDS + 1) for r in rows]
+    counts = [np.frombuffer(r.counts, np.int64).reshape(-1, _KINDS + 1) for r in rows]
     return fit(np.concatenate(counts), np.array([len(c) for c in counts]), np.array([r.quality for r in rows]))
 
 

@@ -36,6 +36,8 @@ BUCKET_ROWS = 2_000
 LINE_CELLS = 4096
 #: Rounds of a permutation.
 ROUNDS = 8
+#: Slots that one task takes through the permutation, about.
+TASK_SLOTS = 20_000
 
 
 def number(*parts):
@@ -142,9 +144,10 @@ def permuted(sno: str, turn: str, n: str, i: str, rounds: int = ROUNDS) -> str:
     return f"aggregate(sequence(1, {rounds}), cast({i} as bigint), (x, r) -> {swap})"
 
 
-def taken_blocks(plan: DataFrame, slots: DataFrame) -> DataFrame:
-    """sno, block, times."""
-    placed = slots.join(plan.where("blocks > 0").select("sno", "blocks"), "sno").select(
+def taken_blocks(plan: DataFrame, slots: DataFrame, n: int) -> DataFrame:
+    """sno, block, times, of n slots; they are spread anew, as the permutation costs more than it reads."""
+    spread = slots.repartition(n // TASK_SLOTS + 1, "slot")
+    placed = spread.join(plan.where("blocks > 0").select("sno", "blocks"), "sno").select(
         "sno", "blocks", F.floor(F.col("k") / F.col("blocks")).alias("turn"), F.pmod("k", "blocks").alias("i")
     )
     picked = placed.select("sno", F.expr(permuted("sno", "turn", "blocks", "i")).alias("block"))
@@ -180,7 +183,7 @@ def mix(docs: DataFrame, work: Work, block: int = BLOCK, cap: int = CAP) -> Data
     full = placed.where("size > 0")
     parts = full.withColumn("block", F.explode(F.sequence(F.floor(F.col("off") / block), F.floor((F.col("off") + F.col("size") - 1) / block))))
     overlap = F.least(F.col("off") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("off"), F.col("block") * block)
-    times = taken_blocks(plan, drawn_slots(plan, slots, work))
+    times = taken_blocks(plan, drawn_slots(plan, slots, work), slots)
     # An offset is one document's only, as sizes are at least 1 here.
     taken = (
         parts.withColumn("words", overlap)
