@@ -12,9 +12,12 @@ Texts are packed into blocks of some megabytes on shared storage. Every 50-byte
 
 Hashes only choose what meets; what is removed is decided by comparing bytes in the suffix array.
 
+What is sent is dealt to as many tasks as the table's size asks for, so that a task's share stays the same as the table grows.
+
 Edge cases: a null text is empty; texts under 50 bytes lose nothing. A null doc_id comes after all others, and null ones
-don't take from each other; rows that share a doc_id don't either. Extra columns are ignored; an empty table gives an
-empty result.
+don't take from each other; rows that share a doc_id don't either. Any long is a doc_id. A text longer than a block is a
+block of its own, and takes some 30 bytes of memory a byte. Extra columns are ignored; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import Work, read_table
 from .shingles import mixed
-from .suffixes import prefixes_reach, suffix_array
+from .suffixes import common_prefixes, suffix_array
 
 SPAN = 50
 GRAM = 24
@@ -39,9 +42,11 @@ BLOCK_BYTES = 4 << 20
 #: Bytes that one task of each exchange gets, about.
 BUCKET_TEXT = 32 << 20
 SHARD_TEXT = 2 << 20
+#: Bytes of texts for each task of an exchange.
+TASK_TEXT = 8 << 20
 #: Bytes of masks that may be broadcast.
 BROADCAST_BYTES = 32 << 20
-LAST = (1 << 63) - 1
+FIRST, LAST = -(1 << 63), (1 << 63) - 1
 
 _random = np.random.RandomState(50)
 _BYTE = (_random.randint(1, 1 << 62, 256).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -171,7 +176,18 @@ class Block:
             yield k, a.hash[at[one]], start[one], size[one], least[low:high], at[order[left:right]], group[left:right] - low
 
 
-def pack(docs: DataFrame, work: Work, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def unused_id(docs: DataFrame) -> int:
+    """A long that isn't a doc_id of docs: the ids above it are numbered one lower inside, and LAST is free for null ones."""
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()  # two numbers
+    if high is None or high < LAST:
+        return LAST
+    hole = FIRST
+    while hole == low or hole != FIRST and docs.where(F.col("doc_id") == hole).limit(1).count():
+        hole = int(_random.randint(-(1 << 62), 1 << 62))
+    return hole
+
+
+def pack(docs: DataFrame, work: Work, hole: int = LAST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """block, ids, lengths, data: documents packed into blocks of about block_bytes, or one document if that is longer."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -184,8 +200,8 @@ def pack(docs: DataFrame, work: Work, block_bytes: int = BLOCK_BYTES) -> DataFra
             return pd.DataFrame([row], columns=["block", "ids", "lengths", "data"])
 
         for pdf in batches:
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                ids.append(LAST if pd.isna(doc_id) else int(doc_id))
+            for doc_id, text in zip(pdf["id"].tolist(), pdf["text"], strict=True):
+                ids.append(doc_id)
                 texts.append((text or "").encode("utf-8"))
                 size += len(texts[-1])
                 if size >= block_bytes:
@@ -194,7 +210,8 @@ def pack(docs: DataFrame, work: Work, block_bytes: int = BLOCK_BYTES) -> DataFra
         if ids:
             yield block()
 
-    return work.save(docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "text").mapInPandas(run, "block long, ids binary, lengths binary, data binary"), "blocks", "zstd")
+    inner = F.when(F.col("doc_id").isNull(), F.lit(LAST)).when(F.col("doc_id") > hole, F.col("doc_id") - 1).otherwise(F.col("doc_id"))
+    return work.save(docs.select(inner.alias("id"), "text").mapInPandas(run, "block long, ids binary, lengths binary, data binary"), "blocks", "zstd")
 
 
 def _offers(buckets: int):
@@ -268,7 +285,7 @@ def window_sources(data: np.ndarray, size: np.ndarray, least: np.ndarray) -> np.
     at = np.cumsum(n + 1) - (n + 1)
     flat[ranges(at, n)] = data[ranges(start[keep], n)]
     suffixes = suffix_array(flat, SPAN)
-    agree = prefixes_reach(flat, suffixes, SPAN)[suffixes]
+    agree = common_prefixes(flat, suffixes, SPAN)[suffixes] >= SPAN
     owner = np.repeat(smallest, n + 1)
     run = np.flatnonzero(~agree)
     source = np.empty(len(flat), np.int64)
@@ -290,7 +307,7 @@ def _sources(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"shard": pdf["shard"], "block": pdf["block"], "counts": counts, "sources": values})
 
 
-def _cut(buckets: int, shards: int):
+def _cut(buckets: int, shards: int, hole: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for r in pdf.itertuples():
@@ -312,31 +329,34 @@ def _cut(buckets: int, shards: int):
                 for doc_id, n in zip(b.ids.tolist(), b.lengths.tolist(), strict=True):
                     mask, text = gone[low : low + n], b.data[low : low + n]
                     spans = int(mask[:1].sum() + (mask[1:] & ~mask[:-1]).sum())
-                    rows.append((None if doc_id == LAST else doc_id, n, int(mask.sum()), spans, hashlib.sha256(text[~mask].tobytes()).hexdigest(), text[~mask].tobytes()))
+                    rows.append((n, int(mask.sum()), spans, hashlib.sha256(text[~mask].tobytes()).hexdigest(), text[~mask].tobytes()))
                     low += n
-                out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-                yield out.astype({"doc_id": "Int64"})
+                out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                # Whole numbers throughout: a float would round large ids.
+                out.insert(0, "doc_id", pd.array([None if i == LAST else i + (i >= hole) for i in b.ids.tolist()], "Int64"))
+                yield out
 
     return run
 
 
 def dedup_suffixes(docs: DataFrame, work: Work) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes that are left) for every row of docs."""
-    blocks = pack(docs, work)
+    hole = unused_id(docs)
+    blocks = pack(docs, work, hole)
     total = blocks.agg(F.sum(F.length("data"))).first()[0] or 0  # one number
-    buckets, shards = max(4, total // BUCKET_TEXT), max(4, total // SHARD_TEXT)
-    offers = blocks.mapInPandas(_offers(buckets), "bucket long, block long, hashes binary, several binary")
+    buckets, shards, tasks = max(4, total // BUCKET_TEXT), max(4, total // SHARD_TEXT), max(4, total // TASK_TEXT)
+    offers = blocks.mapInPandas(_offers(buckets), "bucket long, block long, hashes binary, several binary").repartition(max(4, tasks // 2), "bucket")
     masks = work.save(offers.groupBy("bucket").applyInPandas(_answers, "bucket long, block long, mask binary"), "masks")
-    per_block = masks.groupBy("block").agg(F.collect_list(F.struct("bucket", "mask")).alias("masks"))
+    per_block = masks.repartition(tasks, "block").groupBy("block").agg(F.collect_list(F.struct("bucket", "mask")).alias("masks"))
     # About a bit for every fourteen bytes of text: broadcast while a check says that it is small, else joined by a shuffle.
     if (masks.agg(F.sum(F.length("mask"))).first()[0] or 0) <= BROADCAST_BYTES:
         per_block = F.broadcast(per_block)
     marked = blocks.join(per_block, "block", "left").select("block", "ids", "lengths", "data", "masks")
-    sent = marked.mapInPandas(_contexts(buckets, shards), "shard long, block long, sizes binary, least binary, data binary")
+    sent = marked.mapInPandas(_contexts(buckets, shards), "shard long, block long, sizes binary, least binary, data binary").repartition(tasks, "shard")
     sources = work.save(sent.groupBy("shard").applyInPandas(_sources, "shard long, block long, counts binary, sources binary"), "sources")
-    replies = sources.groupBy("block").agg(F.collect_list(F.struct("shard", "counts", "sources")).alias("answers"))
-    whole = blocks.join(per_block, "block", "left").join(replies, "block", "left").select("block", "ids", "lengths", "data", "masks", "answers")
-    return whole.mapInPandas(_cut(buckets, shards), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    replies = sources.repartition(tasks, "block").groupBy("block").agg(F.collect_list(F.struct("shard", "counts", "sources")).alias("answers"))
+    whole = blocks.repartition(tasks, "block").join(per_block, "block", "left").join(replies, "block", "left").select("block", "ids", "lengths", "data", "masks", "answers")
+    return whole.mapInPandas(_cut(buckets, shards, hole), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

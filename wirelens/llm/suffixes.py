@@ -1,10 +1,11 @@
 """Suffix arrays by induced sorting, vectorised.
 
 Suffixes are classified as larger or smaller than their successor; the leftmost-smaller (LMS) substrings are sorted
-and named, the names are sorted recursively (one substring, then two, four, ... until the wanted depth is passed), and
-from the sorted LMS suffixes the others are induced in two linear passes. A pass goes through the buckets by
-first byte and handles a whole bucket with array operations: what a bucket induces into itself (runs of one byte)
-follows generation by generation, as in a scan.
+and named, the string of names is sorted by recursion, and from the sorted LMS suffixes the others are induced. Over
+bytes, the two linear passes go through the buckets by first byte and handle a whole bucket with array operations:
+what a bucket induces into itself (runs of one byte) follows generation by generation, as in a scan. Over names, of
+which there are too many for a loop over buckets, a pass induces all runs at once: larger suffixes from the LMS suffix
+that ends their run, then smaller ones from the larger suffix that ends theirs.
 """
 
 from __future__ import annotations
@@ -99,29 +100,67 @@ def _names(text: np.ndarray, lms: np.ndarray, order: np.ndarray) -> np.ndarray:
     return name
 
 
-def sort_names(name: np.ndarray, depth: int) -> np.ndarray:
-    """The order of the suffixes of a string of names, by their first `depth` names at least (ties as they come).
+def _places(key: np.ndarray) -> np.ndarray:
+    """For each number, how many are smaller."""
+    order = np.argsort(key)
+    ranked = key[order]
+    new = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    out = np.empty(len(key), np.int64)
+    out[order] = np.repeat(new, np.diff(np.append(new, len(key))))
+    return out
+
+
+def _split(place: np.ndarray, open_: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Splits the ties of place among open_ (whole ties) by the numbers `by`; gives those that still tie."""
+    if not len(open_):
+        return open_
+    pair = place[open_] * (len(place) + 1) + by
+    order = np.argsort(pair)
+    open_, pair = open_[order], pair[order]
+    before = place[open_]
+    first = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
+    at = before + np.arange(len(open_)) - np.repeat(first, np.diff(np.append(first, len(open_))))
+    new = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+    size = np.diff(np.append(new, len(open_)))
+    place[open_] = np.repeat(at[new], size)
+    return open_[np.repeat(size, size) > 1]
+
+
+def _ties(place: np.ndarray, among: np.ndarray) -> np.ndarray:
+    return np.flatnonzero((np.bincount(place, minlength=len(place))[place] > 1) & among)
 
-    Ranks are places in the order: a suffix that has its place for good isn't touched again.
+
+def induce_runs(code: np.ndarray, stop: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Ranks (places, ties equal) of all positions: by the codes up to the next stop, then by that stop's rank.
+
+    No stop has the code of another position, and the last position is a stop or has a code of its own.
     """
-    n, span = len(name), 1
-    counts = np.bincount(name)
-    rank = (np.cumsum(counts) - counts)[name]
-    open_ = np.flatnonzero(counts[name] > 1)
-    while span < depth and len(open_):
-        after = np.where(open_ + span < n, rank[np.minimum(open_ + span, n - 1)] + 1, 0)
-        pair = rank[open_] * (n + 2) + after
-        order = np.argsort(pair)
-        open_, pair = open_[order], pair[order]
-        before = rank[open_]
-        first = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
-        place = before + np.arange(len(open_)) - np.repeat(first, np.diff(np.append(first, len(open_))))
-        new = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
-        size = np.diff(np.append(new, len(open_)))
-        rank[open_] = np.repeat(place[new], size)
-        open_ = open_[np.repeat(size, size) > 1]
-        span *= 2
-    return np.argsort(rank, kind="stable")
+    n = len(code)
+    end = np.minimum.accumulate(np.where(stop, np.arange(n), n - 1)[::-1])[::-1]
+    place = _places(code * (n + 1) + np.where(stop, rank, 0))
+    open_, step = _ties(place, ~stop), 1
+    while len(open_):
+        open_ = _split(place, open_, place[np.minimum(open_ + step, end[open_])])
+        step *= 2
+        open_ = open_[open_ + step <= end[open_]]  # ties are of runs of one length, if these have ended
+    return place
+
+
+def suffix_ranks(names: np.ndarray, depth: int) -> np.ndarray:
+    """Ranks of the suffixes of a string of numbers, right for `depth` numbers at least (ties equal); its last is the smallest."""
+    place = _places(names)
+    if depth <= 1 or not len(_ties(place, np.ones(len(names), bool))):
+        return place
+    smaller = classify(names)
+    code = 2 * names + smaller
+    # All codes up to the next LMS position: larger runs first, then smaller ones before a larger one.
+    place = induce_runs(code, ~smaller, induce_runs(code, smaller, np.zeros(len(names), np.int64)))
+    lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
+    # LMS positions are two apart at least, so half as many names reach the depth.
+    rank = suffix_ranks(_places(place[lms]), (depth + 1) // 2)
+    open_ = _ties(place, np.ones(len(names), bool))
+    _split(place, open_, rank[np.searchsorted(lms, open_, side="right")])
+    return place
 
 
 def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
@@ -136,8 +175,7 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     is_lms = np.zeros(len(text), bool)
     is_lms[lms] = True
     order = once[is_lms[once]]
-    # LMS positions are two apart at least, so this many names reach past the depth.
-    ranked = sort_names(_names(text, lms, order), depth // 2 + 1)
+    ranked = np.argsort(suffix_ranks(_names(text, lms, order), (depth + 1) // 2), kind="stable")
     return induce(text, smaller, lms[ranked], 257)[1:]
 
 
@@ -168,22 +206,3 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, depth: int) -> np.ndarr
     every = np.flatnonzero(before >= 0)
     out[every] = np.minimum(out[every], np.minimum(len(data) - every, len(data) - before[every]))
     return np.minimum(out, depth)
-
-
-def prefixes_reach(data: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
-    """Whether the permuted common prefix is `depth` (8 at least) or longer: common_prefixes >= depth, by position.
-
-    The last eight bytes are compared first; they tell most suffixes apart.
-    """
-    out = np.zeros(len(data), bool)
-    if len(data) < depth:
-        return out
-    before = np.full(len(data), len(data), np.int64)
-    before[order[1:]] = order[:-1]
-    words = words_at(data)
-    last = len(data) - depth
-    at = np.flatnonzero(before[: last + 1] <= last)
-    for k in (depth - 8, *range(0, depth - 8, 8)):
-        at = at[words[at + k] == words[before[at] + k]]
-    out[at] = True
-    return out
