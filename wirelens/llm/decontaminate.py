@@ -14,8 +14,8 @@ punctuation aside) of MAX_EDIT of the item's words. Three steps in one map-only
    of the window's size: wherever the edits are, one of the stretches has no more than its share of them.
 3. Candidates are verified by the exact edit distance of the item to the best stretch nearby (bit-parallel).
 
-The benchmark is read in blocks of ITEM_BLOCK items, whose index goes to every task; each block is a pass over
-the texts. Nothing is shuffled.
+The benchmark is read in blocks of ITEM_BLOCK stretches of its items, about 4 kB each, whose index goes to every task;
+each block is a pass over the texts. Nothing is shuffled. Walks, tables and steps follow from TARGET_RECALL.
 
 Items of fewer than MIN_WORDS words need no windows: an edit (five words allow one) leaves the first or the last pair
 of words whole, so each place of one of these is a candidate; an item of one word is looked up itself.
@@ -32,10 +32,11 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, word_count
 from .shingles import batch_word_hashes, mixed
 
 MAX_EDIT = 0.2
@@ -165,7 +166,10 @@ class Index:
         self.ids = [i for i, _ in kept]
         self.words = [h.tolist() for _, h in kept]
         lengths = np.array([len(h) for _, h in kept], np.int64)
-        self.gap = int(lengths.max() * 2) if len(kept) else 1
+        #: Zeros behind each text, so that no window reaches into the next one.
+        self.gap = LONGEST + 1
+        #: No item starts farther before a text than this.
+        self.lead = int(lengths.max()) if len(kept) else 0
         flat, starts = laid_out([h for _, h in kept], 1)
         #: For each cell of word pairs, a bit for each of GRID in whose items it occurs.
         self.known = np.zeros(1 << PAIR_BITS, np.uint16)
@@ -244,7 +248,7 @@ class Index:
         flat, begin = laid_out(texts, self.gap)
         known = self.known[self.pair_cells(flat)] * ((flat[:-1] != 0) & (flat[1:] != 0))
         listed: dict[int, list[int]] = {}
-        tried: set[tuple[int, int]] = set()
+        tried: set[tuple[int, int, int]] = set()
         cache: dict = {}
         for paired, (keys, items, shifts) in self.short.items():
             if not len(keys):
@@ -266,13 +270,14 @@ class Index:
                 counts = np.searchsorted(keys, row[maybe], "right") - first
                 entry = entries[np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))]
                 place = np.repeat(some[maybe % len(some)], counts)
-                # Each item and start once, as one number.
-                for code in np.unique((items[entry].astype(np.int64) << 32) + (place - shifts[entry] + self.gap)).tolist():
-                    item, start = code >> 32, (code & 0xFFFFFFFF) - self.gap
-                    if (item, start // 4) not in tried:
-                        tried.add((item, start // 4))
-                        middle = min(max(start + len(self.words[item]) // 2, 0), len(flat) - 1)
-                        self._verify(item, start, int(np.searchsorted(begin, middle, "right")) - 1, texts, begin, listed, found)
+                # Each item and start once, as one number; the text is that of a window which led there.
+                codes, led = np.unique((items[entry].astype(np.int64) << 32) + (place - shifts[entry] + self.lead), return_index=True)
+                docs = np.searchsorted(begin, place[led], "right") - 1
+                for code, doc in zip(codes.tolist(), docs.tolist(), strict=True):
+                    item, start = code >> 32, (code & 0xFFFFFFFF) - self.lead
+                    if (item, doc, start // 4) not in tried:
+                        tried.add((item, doc, start // 4))
+                        self._verify(item, start, doc, texts, begin, listed, found)
 
     def _verify(self, item: int, start: int, doc: int, texts: list, begin: np.ndarray, listed: dict, found: list) -> None:
         """Enters the item's edit distance to the stretch of doc near the word `start`, if it is a leak and the best so far."""
@@ -290,9 +295,9 @@ class Index:
 
 
 def item_blocks(benchmark: DataFrame, block: int = ITEM_BLOCK):
-    """Indexes of the benchmark's items, a block at a time; the driver holds one block."""
+    """Indexes of the benchmark's items, about `block` stretches at a time; the driver holds one block."""
     items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text")
-    blocks = -(-items.count() // block)
+    blocks = -(-int(items.agg(F.sum(F.ceil((word_count(F.col("text")) + 1) / LONGEST))).first()[0] or 0) // block)
     for b in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         yield Index([(r.item_id, r.text) for r in part.collect()])
@@ -304,19 +309,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block: int = ITEM_BLOCK) -> Dat
     def searcher(index: Index):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
-        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ix = shared.value
-            for pdf in batches:
+            for batch in batches:
                 rows = []
-                hits = ix.hits(batch_word_hashes([normalised(t) for t in pdf["text"]]))
-                for doc_id, found in zip(pdf["doc_id"], hits, strict=True):
+                hits = ix.hits(batch_word_hashes([normalised(t) for t in batch.column("text").to_pylist()]))
+                for doc_id, found in zip(batch.column("doc_id").to_pylist(), hits, strict=True):
                     rows += [(doc_id, ix.ids[k], d, len(ix.words[k])) for k, d in found.items()]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "distance", "item_words"])
+                columns = zip(*rows, strict=True) if rows else [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "distance", "item_words"])
 
         return search
 
     schema = "doc_id long, item_id long, distance long, item_words long"
-    parts = [docs.select("doc_id", "text").mapInPandas(searcher(ix), schema) for ix in item_blocks(benchmark, block)]
+    parts = [docs.select("doc_id", "text").mapInArrow(searcher(ix), schema) for ix in item_blocks(benchmark, block)]
     return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], schema)
 
 
