@@ -218,37 +218,81 @@ def test_rotation(spark):
 
 # --- token counts
 
-needs_tokenizer = pytest.mark.skipif(not os.path.exists(token_counts.TOKENIZER), reason="no tokenizer file")
 
 
-@needs_tokenizer
-@pytest.mark.parametrize("block", [token_counts.BLOCK_TOKENS, 5])
-def test_token_counts(spark, work, block):
+@pytest.fixture(scope="module")
+def vocabulary(tmp_path_factory):
+    """A file of ranks with the bytes and a few longer tokens."""
+    import base64
+
+    tokens = [bytes([b]) for b in range(256)] + [b"ab", b"ba", b" a", b"abab", "ü".encode()]
+    path = tmp_path_factory.mktemp("ranks") / "tiny.ranks"
+    path.write_text("".join(f"{base64.b64encode(t).decode()} {k}\n" for k, t in enumerate(tokens)))
+    return str(path)
+
+
+def counted(spark, work, tokenizer, eod, block):
     rng = random.Random(3)
-    texts = [" ".join(words(rng, rng.randint(0, 40))) for _ in range(60)] + [None, "", "a<|endoftext|>b", "日本語 ünï"]
-    df = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)] + [(None, "x", 1), (3, texts[3], 1)], "doc_id long, text string, first int").repartition(3)
-    flat = token_counts.write_flat(df, work, block_tokens=block)
-    tool = token_counts.load_tokenizer(token_counts.TOKENIZER)
+    top = (1 << 63) - 1
+    texts = [" ".join(words(rng, rng.randint(0, 40))) for _ in range(60)] + [None, "", "a<|endoftext|>b", "日本語 ünï", "ab" * 20_000]
+    df = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)] + [(None, "x", 1), (3, texts[3], 1), (top, "last", 1)], "doc_id long, text string, first int").repartition(3)
+    flat = token_counts.write_flat(df, work, tokenizer, eod, block_tokens=block)
+    tool = token_counts.load_tokenizer(tokenizer)
     want = Counter((i, len(tool.encode_ordinary(t or ""))) for i, t in [(r.doc_id, r.text) for r in df.collect()])
     order = flat.where("payload IS NULL").select("file", "first", F.posexplode("doc_ids").alias("pos", "doc_id")).selectExpr("file", "first + pos AS ordinal", "doc_id")
-    got = order.join(token_counts.scan(flat.where("payload IS NOT NULL")), ["file", "ordinal"]).collect()
+    got = order.join(token_counts.scan(flat.where("payload IS NOT NULL"), eod, token_counts.id_kind(tokenizer, eod)), ["file", "ordinal"]).collect()
     assert Counter((r.doc_id, r.n_tokens) for r in got) == want
-    assert token_counts.token_counts(df.limit(0), work).count() == 0
+    assert token_counts.token_counts(df.limit(0), work, tokenizer, eod).count() == 0
+
+
+@pytest.mark.parametrize(("eod", "block"), [(300, token_counts.BLOCK_TOKENS), (300, 5), (70_000, 7)])
+def test_token_counts(spark, work, vocabulary, eod, block):
+    assert token_counts.id_kind(vocabulary, eod) == ("<u2" if eod == 300 else "<u4")
+    counted(spark, work, vocabulary, eod, block)
+
+
+@pytest.mark.skipif(not os.path.exists(token_counts.TOKENIZER), reason="no tokenizer file")
+def test_token_counts_of_the_query(spark, work):
+    counted(spark, work, token_counts.TOKENIZER, token_counts.EOD, 1000)
 
 
-@pytest.mark.parametrize("block_bytes", [2, 6, 1000])
-def test_scan_of_files_made_elsewhere(spark, tmp_path, block_bytes):
+def files_found(blocks, eod, kind):
+    found = defaultdict(list)
+    for r in sorted(token_counts.scan(blocks, eod, kind).collect(), key=lambda r: (r.file, r.ordinal)):
+        found[os.path.basename(r.file)].append((r.ordinal, r.n_tokens, r.closed))
+    return found
+
+
+@pytest.mark.parametrize("block_bytes", [2, 7, 1000])
+def test_scan_of_files_made_elsewhere(spark, work, tmp_path, block_bytes):
     streams = {"a": [5, 6, 9, 9, 7, 9], "b": [9], "c": [1, 2, 3], "d": [1, 9, 2, 2]}
     for name, ids in streams.items():
         (tmp_path / name).write_bytes(np.array(ids, "<u2").tobytes())
     (tmp_path / "e").write_bytes(b"")
-    got = token_counts.scan(token_counts.flat_blocks(spark, str(tmp_path), block_bytes), eod=9).collect()
-    found = defaultdict(list)
-    for r in sorted(got, key=lambda r: (r.file, r.ordinal)):
-        found[os.path.basename(r.file)].append((r.ordinal, r.n_tokens, r.closed))
+    found = files_found(token_counts.flat_blocks(spark, str(tmp_path), work, 9, "<u2", block_bytes), 9, "<u2")
     assert found == {"a": [(0, 2, True), (1, 0, True), (2, 1, True)], "b": [(0, 0, True)], "c": [(0, 3, False)], "d": [(0, 1, True), (1, 2, False)]}
 
 
+@pytest.mark.parametrize(("kind", "eod"), [("<u2", 50256), ("<u4", 100_257), ("<u2", 0x8181)])
+def test_a_file_is_read_by_many_splits(spark, work, tmp_path, kind, eod):
+    rng = np.random.RandomState(5)
+    ids = rng.randint(0, 60_000, 30_000)
+    ids[rng.randint(0, len(ids), 200)] = eod
+    ids[[0, 1]] = eod
+    (tmp_path / "big").write_bytes(ids.astype(kind).tobytes())
+    at = np.flatnonzero(ids == eod)
+    want = [(k, int(n), True) for k, n in enumerate(np.diff(np.concatenate([[-1], at])) - 1)]
+    if len(ids) - 1 > at[-1]:
+        want.append((len(at), int(len(ids) - 1 - at[-1]), False))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3001b")
+    try:
+        found = files_found(token_counts.flat_blocks(spark, str(tmp_path), work, eod, kind, 777), eod, kind)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert found == {"big": want}
+
+
 # --- quality
 
 

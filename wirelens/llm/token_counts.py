@@ -6,7 +6,8 @@ operations, and stitches the blocks of a file together by a prefix scan: the sep
 documents, and the tokens since the last separator before it belong to its first one.
 
 `write_flat` makes such files of documents: one flat file for each partition, held as a table of fixed-size blocks
-on shared storage, with a manifest of the order of its documents. `flat_blocks` reads files made elsewhere.
+on shared storage, with a manifest of the order of its documents. `flat_blocks` reads files made elsewhere, of any size,
+by Spark's splits. Ids are 16 bits wide, or 32 where the vocabulary or the separator needs it.
 
 Edge cases: null and empty texts are documents of 0 tokens. The separator's own text inside a document is ordinary
 text. Tokens after a file's last separator are one more, open, document. Repeated rows are documents of their
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,51 +50,105 @@ def load_tokenizer(path: str):
     return _loaded[path]
 
 
-def encode(tokenizer, texts: list) -> Iterator[np.ndarray]:
+def id_kind(tokenizer: str, eod: int) -> str:
+    """How wide an id is stored."""
+    return "<u2" if max(load_tokenizer(tokenizer).max_token_value, eod) < 1 << 16 else "<u4"
+
+
+def encode(tokenizer, texts: list, kind: str = "<u2") -> Iterator[np.ndarray]:
     """The ids of each text, in order; None counts as empty."""
     for text in texts:
-        yield np.array(tokenizer.encode_ordinary(text or ""), np.uint16)
+        yield np.array(tokenizer.encode_ordinary(text or ""), kind)
 
 
 def write_flat(docs: DataFrame, work: Work, tokenizer: str = TOKENIZER, eod: int = EOD, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """file, block, payload rows (flat tokens) and file, first, doc_ids rows (the manifest), as one written table."""
 
-    def flat(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kind = id_kind(tokenizer, eod)
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, block, first = TaskContext.get().partitionId(), 0, 0
         rest, held = [], 0
         tool = load_tokenizer(tokenizer)
 
         def cut(final: bool) -> list:
             nonlocal rest, held, block
-            stream, rows, at = np.concatenate(rest) if rest else np.zeros(0, np.uint16), [], 0
+            stream, rows, at = np.concatenate(rest) if rest else np.zeros(0, kind), [], 0
             while len(stream) - at >= block_tokens or final and at < len(stream):
-                rows.append((file, block, stream[at : at + block_tokens].astype("<u2").tobytes(), None, None))
+                rows.append((file, block, stream[at : at + block_tokens].tobytes(), None, None))
                 block, at = block + 1, at + block_tokens
             rest, held = [stream[at:]], max(0, len(stream) - at)
             return rows
 
-        columns = ["file", "block", "payload", "first", "doc_ids"]
-        for pdf in batches:
-            rows = [(file, None, None, first, [None if pd.isna(i) else int(i) for i in pdf["doc_id"]])]
-            first += len(pdf)
-            for ids in encode(tool, pdf["text"].tolist()):
-                rest += [ids, np.array([eod], np.uint16)]
-                held += len(ids) + 1
+        def batch_of(rows: list) -> pa.RecordBatch:
+            types = (pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()))
+            columns = zip(*rows, strict=True) if rows else [()] * len(types)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["file", "block", "payload", "first", "doc_ids"])
+
+        for batch in batches:
+            ids = batch.column("doc_id").to_pylist()  # whole numbers: a float would round large ones
+            rows = [(file, None, None, first, ids)]
+            first += len(ids)
+            for found in encode(tool, batch.column("text").to_pylist(), kind):
+                rest += [found, np.array([eod], kind)]
+                held += len(found) + 1
                 if held >= block_tokens:
                     rows += cut(False)
-            yield pd.DataFrame(rows, columns=columns, dtype=object)
-        yield pd.DataFrame(cut(True), columns=columns, dtype=object)
+            yield batch_of(rows)
+        yield batch_of(cut(True))
+
+    schema = "file int, block long, payload binary, first long, doc_ids array<long>"
+    return work.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(flat, schema), "flat")
 
-    return work.save(docs.select("doc_id", "text").mapInPandas(flat, "file int, block long, payload binary, first long, doc_ids array<long>"), "flat")
 
+def flat_blocks(spark: SparkSession, path: str, work: Work, eod: int = EOD, kind: str = "<u2", block_bytes: int = 2 * BLOCK_TOKENS) -> DataFrame:
+    """file (its path), block (its first byte), payload of flat files under a path that Spark reads, of any size.
 
-def flat_blocks(spark: SparkSession, path: str, block_bytes: int = 2 * BLOCK_TOKENS) -> DataFrame:
-    """file (its path), block, payload of flat files under a path that Spark reads; a file may have up to 2 GB."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content", F.length("content").alias("n"))
-    starts = F.sequence(F.lit(0), F.greatest(F.col("n") - 1, F.lit(0)), F.lit(block_bytes))
-    return files.select(F.col("path").alias("file"), F.posexplode(starts).alias("block", "at"), "content").select(
-        "file", F.col("block").cast("long").alias("block"), F.expr(f"substring(content, at + 1, {block_bytes})").alias("payload")
+    The files are read as lines that end at a byte of the separator, so no line is longer than a document, and Spark
+    splits a large file over many tasks. A block begins wherever a split does; the bytes of an id that was cut in two
+    go to the later block.
+    """
+    width = np.dtype(kind).itemsize
+    mark = next((b for b in eod.to_bytes(width, "little") if 0 < b < 128), 0)
+    lines = spark.read.option("lineSep", chr(mark)).text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("line")
+    )
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size, at, no = [], 0, None, 0
+
+        def block() -> pd.DataFrame:
+            return pd.DataFrame([(*at, no, b"".join(held))], columns=["file", "size", "start", "no", "payload"])
+
+        for pdf in batches:
+            for *now, line in pdf[["file", "size", "start", "line"]].itertuples(index=False):
+                if at != now and held:
+                    yield block()
+                    held, size = [], 0
+                no = 0 if at != now else no
+                at = now
+                held += [line, bytes([mark])]
+                size += len(line) + 1
+                if size >= block_bytes:
+                    yield block()
+                    held, size, no = [], 0, no + 1
+        if held:
+            yield block()
+
+    pieces = work.save(lines.mapInPandas(gather, "file string, size long, start long, no long, payload binary"), "pieces")
+    order = Window.partitionBy("file").orderBy("start", "no")
+    tail = F.expr(f"substring(payload, -{width}, {width})")
+    places = (
+        pieces.select("file", "start", "no", F.length("payload").alias("n"), tail.alias("tail"))
+        .withColumn("at", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n"))
+        .withColumn("before", F.concat(*[F.coalesce(F.lag("tail", k).over(order), F.unhex(F.lit(""))) for k in range(width, 0, -1)]))
+        .withColumn("cut", F.pmod("at", F.lit(width)).cast("int"))
+        .select("file", "start", "no", "at", F.when(F.col("cut") > 0, F.expr("substring(before, -cut, cut)")).otherwise(F.unhex(F.lit(""))).alias("carry"))
+    )
+    whole = pieces.join(places, ["file", "start", "no"]).select(
+        "file", F.col("at").alias("block"), F.concat("carry", F.expr("substring(payload, 1, cast(least(length(payload), size - at) as int))")).alias("bytes")
     )
+    return whole.select("file", "block", F.expr(f"substring(bytes, 1, length(bytes) - length(bytes) % {width})").alias("payload"))
 
 
 def block_lengths(payload: bytes, eod: int, kind: str = "<u2") -> tuple[int, int, int, int, list]:
@@ -135,7 +191,7 @@ def token_counts(docs: DataFrame, work: Work, tokenizer: str = TOKENIZER, eod: i
     flat = write_flat(docs, work, tokenizer, eod)
     manifest = flat.where("payload IS NULL").select("file", "first", F.posexplode("doc_ids").alias("pos", "doc_id"))
     order = manifest.select("file", (F.col("first") + F.col("pos")).alias("ordinal"), "doc_id")
-    return order.join(scan(flat.where("payload IS NOT NULL"), eod), ["file", "ordinal"]).select("doc_id", "n_tokens")
+    return order.join(scan(flat.where("payload IS NOT NULL"), eod, id_kind(tokenizer, eod)), ["file", "ordinal"]).select("doc_id", "n_tokens")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
