@@ -214,6 +214,22 @@ def test_rotation(spark):
     b = got[1, "ann", 1]
     assert [b.text[x:y] for x, y in zip(b.mask_starts, b.mask_ends, strict=True)] == ["é<|im_end|>"]
     assert chat_format.rotations(df.limit(0)).count() == 0
+    assert (a.offset, b.offset) == (0, len(a.text))
+
+
+def test_pieces_are_the_whole_rendering(spark):
+    rows = [(1, t, r, f"m{k}") for k, (t, r) in enumerate([(None, "ann"), (None, "bob")] * 5 + [(5, "bob")] * 7 + [(6, "ann"), (200, "bob"), (201, "system")])]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole = {r.perspective: r for r in chat_format.rotations(df.where("turn IS NULL")).collect()}
+    got = sorted((r.perspective, r.part, r.piece, r) for r in chat_format.rotations(df, piece=3).collect())
+    assert max(r.n_turns for *_, r in got) == 3
+    for who in ("ann", "bob"):
+        mine = [r for p, *_, r in got if p == who]
+        text = "".join(r.text for r in mine)
+        assert text.startswith(whole[who].text)
+        assert [text[r.offset : r.offset + len(r.text)] for r in mine] == [r.text for r in mine]
+        masks = [text[r.offset + x : r.offset + y] for r in mine for x, y in zip(r.mask_starts, r.mask_ends, strict=True)]
+        assert sorted(masks) == sorted(f"{m}<|im_end|>" for _, _, s, m in rows if s == who)
 
 
 # --- token counts
