@@ -47,7 +47,17 @@ def text_of(html, templates=frozenset()):
         ("<p>a < b and c > d</p>", "a < b and c > d"),
         ("<p>x</p><!-- never closed <p>y</p>", "x"),
         ('<div role="navigation">n</div><main><p>m</p></main><p>outside</p>', "m"),
-        ("<article><p class=\"social-history\">y</p><p title='a > b'>z</p></article>", "z"),
+        ("<article><p class=\"social-history\">y</p><p title='a > b'>z</p></article>", "y\nz"),
+        ('<article><p>one</p><p>two</p><p title="x<y">three</p></article>', "one\ntwo\nthree"),
+        ("<p title='a <b> \"c\"' data-x=1>q</p><p title=\"never closed>r</p>", "q\nr"),
+        ("<article><p>let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be</p></article>", "let x=2 be"),
+        ('<article><section class="related-work"><p>prior</p></section><section class="discussion"><p>own</p></section></article>', "prior\nown"),
+        ('<article><p>k</p><div class="reply"><p>r</p></div><div class="discussion"><p>d</p></div><ul class="comment-list"><li>c</li></ul><div class="siteFooter">f</div></article>', "k"),
+        ("<article><p>k</p><section><h2>What readers say</h2><article><p>me too</p></article></section></article>", "k\nWhat readers say"),
+        ('<div class="topbar">t</div><div id="header">h</div><p>k</p><div class="header-image-theory">i</div>', "k\ni"),
+        ('<div class="x9"><a href="/1">one</a> | <a href="/2">two</a> | <a href="/3">three</a></div><p>see <a href="/4">that</a> page</p>', "see that page"),
+        ('<article><ul><li><a href="/1">ref one</a></li><li><a href="/2">ref two</a></li><li><a href="/3">ref three</a></li></ul></article>', "ref one\nref two\nref three"),
+        ("</div></p>" * 3 + "<div>a" * 3, "a\na\na"),
     ],
 )
 def test_article_text(html, want):
@@ -72,6 +82,78 @@ def test_copied_articles_are_no_templates(spark, work):
     assert {r.text for r in html_text.extract(df, work).collect()} == {"T\nsame text"}
 
 
+def test_a_notice_of_one_section_of_a_large_host(spark, work):
+    """Without any telling name, on a third of a host's pages; what as many articles hold stays."""
+    box = "<div class='zq'><p>Our offices are closed on Monday</p></div>"
+    held = "<div class='zq2'><p>a table that many articles show</p></div>"
+    pages = [(k, f"http://large.example/{k}", f"<body>{box if k % 3 == 0 else ''}<article><p>page {k}</p>{held if k % 3 == 0 else ''}</article></body>") for k in range(3000)]
+    pages += [(10_000 + k, f"http://large.example/x{k}", f"<body>{box if k % 3 == 0 else ''}<p>bare {k}</p></body>") for k in range(300)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract(df, work).collect()}
+    assert got[3] == "page 3\na table that many articles show"
+    assert (got[10_000], got[10_001]) == ("bare 0", "bare 1")
+    assert html_text.extract(df.limit(0), work).count() == 0
+
+
+def test_many_templates_are_joined_by_salt(spark, work, monkeypatch):
+    monkeypatch.setattr(html_text, "BROADCAST_HASHES", 0)
+    box = "<div class='x1'><p>Read more</p></div>"
+    pages = [(k, f"http://h.example/{k}", f"<body>{box}<p>page {k}</p></body>") for k in range(40)] + [(3, "http://h.example/3", f"<body>{box}<p>page 3</p></body>"), (99, None, None)]
+    got = html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string"), work).collect()
+    assert sorted((r.page_id, r.text) for r in got) == sorted([(k, f"page {k}") for k in range(40)] + [(3, "page 3"), (99, "")])
+
+
+def test_a_very_long_page():
+    whole = "<article>" + "".join(f"<div><p>part {k}" for k in range(60_000)) + "</i></section>" * 60_000
+    assert text_of(whole) == "\n".join(f"part {k}" for k in range(60_000))
+
+
+def independent_text(source):
+    """The article's blocks by the standard library's parser: another tokenizer, and a stack of its own."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.stack, self.blocks, self.text = [], [], ""
+
+        def cut(self):
+            if "article" in self.stack and not {"nav", "script", "style", "footer", "aside", "form"} & set(self.stack):
+                self.blocks.append(" ".join(self.text.split()))
+            self.text = ""
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("p", "h1", "h2", "ul", "li", "article", "div", "nav", "footer", "body"):
+                self.cut()
+            if tag == "article":
+                self.stack = [t for t in self.stack if t not in ("nav", "ul", "li")]
+            if tag == "br":
+                self.text += " "
+            elif tag != "meta":
+                self.stack.append(tag)
+
+        def handle_endtag(self, tag):
+            if tag in ("p", "h1", "h2", "ul", "li", "article", "div", "nav", "footer", "body"):
+                self.cut()
+            if tag in self.stack:
+                del self.stack[len(self.stack) - 1 - self.stack[::-1].index(tag) :]
+
+        def handle_data(self, data):
+            self.text += data
+
+    reader = Reader()
+    reader.feed(source or "")
+    reader.close()
+    return "\n".join(b for b in reader.blocks if b)
+
+
+def test_the_query_against_an_independent_parser(spark):
+    pages = {r.page_id: r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
+    rows = html_text.op1_html_text(spark, "/root/testdata/sf0.01").collect()
+    assert {r.page_id: r.text for r in rows} == {i: independent_text(h) for i, h in pages.items()}
+    assert all(r.n_chars == len(r.text) for r in rows)
+
+
 # --- decontamination
 
 
