@@ -16,10 +16,16 @@ def dimension(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def one_each(df: DataFrame, key: str) -> DataFrame:
+    """One row a key, the same in every run: the one with the largest values."""
+    rest = [c for c in df.columns if c != key]
+    return df.groupBy(key).agg(F.max(F.struct(*rest)).alias("__row")).select(key, "__row.*")
+
+
 def with_dst(x: DataFrame, pods: DataFrame, services: DataFrame) -> DataFrame:
     """x(ip, port) with dst: the pod at the ip, else the service, else ip:port, else unknown. A pod wins over a service."""
-    p = dimension(pods.select(F.col("ip").alias("p_ip"), F.col("namespace").alias("p_ns"), F.col("name").alias("p_name")).dropDuplicates(["p_ip"]))
-    s = dimension(services.select(F.col("ip").alias("s_ip"), F.col("namespace").alias("s_ns"), F.col("name").alias("s_name")).dropDuplicates(["s_ip"]))
+    p = dimension(one_each(pods.select(F.col("ip").alias("p_ip"), F.col("namespace").alias("p_ns"), F.col("name").alias("p_name")), "p_ip"))
+    s = dimension(one_each(services.select(F.col("ip").alias("s_ip"), F.col("namespace").alias("s_ns"), F.col("name").alias("s_name")), "s_ip"))
     address = F.concat(F.col("ip"), F.lit(":"), F.col("port").cast("string"))
     named = x.join(p, F.col("ip") == F.col("p_ip"), "left").join(s, F.col("ip") == F.col("s_ip"), "left")
     found = F.coalesce(F.concat("p_ns", F.lit("/"), "p_name"), F.concat("s_ns", F.lit("/"), "s_name"))
@@ -28,9 +34,9 @@ def with_dst(x: DataFrame, pods: DataFrame, services: DataFrame) -> DataFrame:
 
 def with_src(x: DataFrame, procs: DataFrame, cgroups: DataFrame, pods: DataFrame) -> DataFrame:
     """x(tgid, cgroup_id) with src: the pod of the process or of its cgroup by name, else a short label."""
-    p = dimension(procs.select("tgid", "comm", S.pod_uid(F.col("cgroup")).alias("own_uid"), S.container_id(F.col("cgroup")).alias("cid")).dropDuplicates(["tgid"]))
-    c = dimension(cgroups.select(F.col("inode").alias("cgroup_id"), F.col("pod_uid").alias("cg_uid")).dropDuplicates(["cgroup_id"]))
-    n = dimension(pods.select(F.col("uid").alias("uid"), F.concat("namespace", F.lit("/"), "name").alias("pod")).dropDuplicates(["uid"]))
+    p = dimension(one_each(procs.select("tgid", "comm", S.pod_uid(F.col("cgroup")).alias("own_uid"), S.container_id(F.col("cgroup")).alias("cid")), "tgid"))
+    c = dimension(one_each(cgroups.select(F.col("inode").alias("cgroup_id"), F.col("pod_uid").alias("cg_uid")), "cgroup_id"))
+    n = dimension(one_each(pods.select(F.col("uid").alias("uid"), F.concat("namespace", F.lit("/"), "name").alias("pod")), "uid"))
     known = x.join(p, "tgid", "left").join(c, "cgroup_id", "left").withColumn("uid", F.coalesce("own_uid", "cg_uid"))
     label = S.process_label(F.col("uid"), F.col("cid"), F.col("comm"), F.col("tgid"))
     return known.join(n, "uid", "left").withColumn("src", F.coalesce("pod", label)).drop("uid", "own_uid", "cg_uid", "cid", "comm", "pod")
@@ -38,7 +44,7 @@ def with_src(x: DataFrame, procs: DataFrame, cgroups: DataFrame, pods: DataFrame
 
 def comm_of(rows: DataFrame, procs: DataFrame) -> DataFrame:
     """rows(tgid, pid) with comm, looked up by tgid and else by pid."""
-    by = lambda key, name: dimension(procs.select(F.col("tgid").alias(key), F.nullif(F.col("comm"), F.lit("")).alias(name)).dropDuplicates([key]))
+    by = lambda key, name: dimension(one_each(procs.select(F.col("tgid").alias(key), F.nullif(F.col("comm"), F.lit("")).alias(name)), key))
     return rows.join(by("tgid", "c1"), "tgid", "left").join(by("pid", "c2"), "pid", "left").withColumn("comm", F.coalesce("c1", "c2", F.lit(""))).drop("c1", "c2")
 
 

@@ -15,7 +15,8 @@ def parse_comm_list(text: str | None) -> list[str]:
 
 
 def comm_allowed(comm: Column, allow: list[str] = (), deny: list[str] = (), k8s: bool = False, self_comm: str = DEFAULT.self_comm) -> Column:
-    """Own name never; with an allow list only its names; else all but the denied ones."""
+    """Own name never; with an allow list only its names; else all but the denied ones. An unknown name is an empty one."""
+    comm = F.coalesce(comm, F.lit(""))
     denied = [*deny, *(DEFAULT.k8s_deny if k8s else ())]
     listed = comm.isin(*allow) if allow else ~comm.isin(*denied) if denied else F.lit(True)
     return (comm != self_comm) & listed
@@ -23,7 +24,7 @@ def comm_allowed(comm: Column, allow: list[str] = (), deny: list[str] = (), k8s:
 
 def ingest_class(tgid: Column, pid: Column, comm: Column, self_ids: list[int], **rules) -> Column:
     """self_process, denied or keep."""
-    own = tgid.isin(*self_ids) | pid.isin(*self_ids) | (comm == rules.get("self_comm", DEFAULT.self_comm))
+    own = tgid.isin(*self_ids) | pid.isin(*self_ids) | F.coalesce(comm == rules.get("self_comm", DEFAULT.self_comm), F.lit(False))
     return F.when(own, F.lit("self_process")).when(~comm_allowed(comm, **rules), F.lit("denied")).otherwise(F.lit("keep"))
 
 

@@ -7,25 +7,31 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import DEFAULT
+from .ordered import ordered_scan
+
+
+class _Controller:
+    """A tick with drops doubles n (up to n_max); `decay` quiet ticks halve it (down to 1)."""
+
+    def __init__(self, n_max: int, decay: int):
+        self.n_max, self.decay, self.n, self.quiet = n_max, decay, 1, 0
+
+    def feed(self, tick: int, drops: int) -> list[dict]:
+        self.quiet = 0 if drops else self.quiet + 1
+        if drops:
+            self.n = min(self.n_max, 2 * self.n)
+        elif self.quiet >= self.decay:
+            self.n, self.quiet = max(1, self.n // 2), 0
+        return [{"tick": tick, "n": self.n}]
+
+    def end(self) -> list[dict]:
+        return []
 
 
 def sample_controller(ticks: DataFrame, n_max: int = DEFAULT.sample_n_max, decay: int = DEFAULT.sample_decay_ticks) -> DataFrame:
-    """node, tick, n: the sampling divisor after each tick. ticks: node, tick, drops (new drops in the tick).
-
-    A tick with drops doubles n (up to n_max); `decay` quiet ticks halve it (down to 1). An ordered fold per node.
-    """
-    step = f"""CASE WHEN t.drops > 0 THEN named_struct('n', least({n_max}, s.n * 2), 'quiet', 0)
-                    WHEN s.quiet + 1 >= {decay} THEN named_struct('n', greatest(1, s.n div 2), 'quiet', 0)
-                    ELSE named_struct('n', s.n, 'quiet', s.quiet + 1) END"""
-    kind = "struct<n:bigint,quiet:bigint,out:array<struct<tick:bigint,n:bigint>>>"
-    fold = f"""aggregate(ts, cast(named_struct('n', 1, 'quiet', 0, 'out', array()) as {kind}),
-        (s, t) -> element_at(transform(array({step}), u -> cast(named_struct('n', u.n, 'quiet', u.quiet,
-            'out', array_append(s.out, cast(named_struct('tick', t.tick, 'n', u.n) as struct<tick:bigint,n:bigint>))) as {kind})), 1), s -> s.out)"""
-    return (
-        ticks.groupBy("node")
-        .agg(F.array_sort(F.collect_list(F.struct(F.col("tick").cast("long").alias("tick"), F.col("drops").cast("long").alias("drops")))).alias("ts"))
-        .select("node", F.expr(f"inline({fold})"))
-    )
+    """node, tick, n: the sampling divisor after each tick. ticks: node, tick, drops (new drops in the tick)."""
+    plain = ticks.select("node", F.col("tick").cast("long").alias("tick"), F.coalesce("drops", F.lit(0)).cast("long").alias("drops"))
+    return ordered_scan(plain, ["node"], ["tick"], ["tick", "drops"], "tick long, n long", lambda: _Controller(n_max, decay))
 
 
 def span_queue(spans: DataFrame, flush_ns: int, cap: int = DEFAULT.span_queue) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, EngineConfig
 from ..functions import scalars as S
 from ..operators import aggregates
+from ..operators.ordered import ordered_scan
 from ..operators.h2 import PREFACE, Registry, frame, protocol_of, starts_connection
 from ..sources import evlog
 
@@ -31,6 +32,18 @@ _STATUS = re.compile(rb"HTTP/1\.[01] ([0-9]{3})")
 _SSE = re.compile(rb"(?i)\r\n[ \t]*content-type[ \t]*:[^\r\n]*text/event-stream")
 
 
+_HEADER = re.compile(rb"[!#$%&'*+.^_`|~0-9A-Za-z-]+:")
+MAX_HEADERS = 32
+
+
+def well_formed(text: bytes) -> bool:
+    """Whether the whole header lines of a message are headers, and not too many; the captured text may end in any line."""
+    lines = text.split(b"\r\n")[1:-1]
+    if b"" in lines:
+        lines = lines[: lines.index(b"")]
+    return len(lines) <= MAX_HEADERS and all(map(_HEADER.match, lines))
+
+
 def _number(text: bytes, key: bytes) -> int | None:
     at = text.find(b'"' + key + b'"')
     found = re.match(rb"\s*:\s*([0-9]{1,18})", text[at + len(key) + 2 :]) if at >= 0 else None
@@ -91,7 +104,7 @@ class Router:
             began, t0, request = waiting
             line, status = _LINE.match(request), _STATUS.match(text)
             out = []
-            if line and status:
+            if line and status and well_formed(request) and well_formed(text):
                 path = line[2].split(b"?")[0].decode("latin-1")
                 out.append(self._row("exchange", 0, "http", line[1].decode(), path, int(status[1]), t0, ts_ns, began == "W", cgroup_id))
                 if path in self.c.llm_paths and _SSE.search(text):
@@ -136,17 +149,14 @@ def rows_frame(rows: list[dict], tgid: int, fd: int) -> pd.DataFrame:
 def routed(io: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
     """Exchanges and model calls of decoded I/O rows (seq, kind, dir, fd, tgid, ret, ts_ns, cgroup_id, prefix).
 
-    One shuffle on (tgid, fd); a connection is the unit of state. Model streams that are open at the end are given as
-    incomplete.
+    One shuffle on (tgid, fd); a task goes through its connections one after the other, row by row, so that no connection
+    is gathered in memory. Model streams that are open at the end are given as incomplete.
     """
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        router, rows = Router(config), []
-        for r in pdf.sort_values("seq").itertuples():
-            rows += router.feed(r.dir, int(r.ret), int(r.ts_ns), bytes(r.prefix), int(r.cgroup_id), r.kind == 4)
-        return rows_frame(rows + router.end(), *key)
-
-    return io.where("dir IS NOT NULL").groupBy("tgid", "fd").applyInPandas(run, EXCHANGE)
+    order = [c for c in ("file", "seq") if c in io.columns]
+    known = io.where("dir IS NOT NULL").withColumn("client_only", F.col("kind") == 4)
+    rest = EXCHANGE.replace("tgid long, fd int, ", "")
+    found = ordered_scan(known, ["tgid", "fd"], order, ["dir", "ret", "ts_ns", "prefix", "cgroup_id", "client_only"], rest, lambda: Router(config))
+    return found.select(*_COLUMNS)
 
 
 def replay(records: DataFrame, config: EngineConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
@@ -161,4 +171,22 @@ def report(records: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
     return aggregates.replay_report(replay(records, config)[0])
 
 
-__all__ = ["PREFACE", "Router", "replay", "report", "routed"]
+def report_lines(records: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
+    """part, line: the whole report as text: the number of records, a line for each label and status, one for each model call."""
+    rows = routed(evlog.decode_io(records), config)
+    some = lambda c: F.coalesce(F.concat(F.lit("Some("), F.col(c).cast("string"), F.lit(")")), F.lit("None"))
+    total = records.agg(F.concat(F.lit("records="), F.count(F.lit(1)).cast("string")).alias("line"))
+    counted = aggregates.replay_report(rows.where("what = 'exchange'"))
+    shown = counted.select(F.concat_ws(" ", "label", "status", F.concat(F.lit("count="), "n"), F.concat(F.lit("p50_ns="), "p50_ns")).alias("line"))
+    parts = ("path", "status", "ttfb_ns")
+    calls = rows.where("what = 'llm'").select(
+        F.concat_ws(
+            " ", F.lit("llm"), *[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in parts], F.concat(F.lit("total_ns="), F.col("latency_ns").cast("string")),
+            F.concat(F.lit("in="), some("input_tokens")), F.concat(F.lit("out="), some("output_tokens")), F.concat(F.lit("complete="), F.col("complete").cast("string")),
+        ).alias("line")
+    )
+    part = lambda n, df: df.select(F.lit(n).alias("part"), "line")
+    return part(0, total).unionByName(part(1, shown)).unionByName(part(2, calls))
+
+
+__all__ = ["PREFACE", "Router", "replay", "report", "report_lines", "routed"]

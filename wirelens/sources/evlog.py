@@ -1,8 +1,12 @@
 """The event log: a magic number, then length-prefixed binary records; reader, writer and decoding.
 
-`spark.read.format("evlog").load(path)` gives (file, seq, rec). The records of a file can't be told apart without
-reading it from the start, so a file is a partition; a capture is a folder of files. Where paths are only open to
-Spark's own readers, `read_logs` reads the files as binary rows instead, with the same result.
+`read_logs` and `write_logs` work on any path that Spark opens, in batch or as a stream: executors need no folder of their
+own. The records of a file can't be told apart without reading it from the start, so a file is read by one task; the
+writer starts a new file every FILE_BYTES. `spark.read.format("evlog")` is the same as a data source for storage that all
+executors mount.
+
+Records are decoded a whole Arrow batch at once: the records of a kind are gathered into one array of fixed layout, whose
+fields are views of it.
 """
 
 from __future__ import annotations
@@ -13,7 +17,8 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -141,122 +146,197 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(EventLog)
 
 
-def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """The records of logs under any path that Spark's readers open."""
+#: Bytes of one written file, about.
+FILE_BYTES = 32 << 20
+
+
+def write_logs(rows: DataFrame, path: str) -> None:
+    """Appends log files with the records of rows (rec), redacted, under any path that Spark writes to.
+
+    Spark's text writer does it: the magic number's last byte is the end of a line, and the rest of a file, with all its
+    records, is one more line, whose end is too short for another record's length.
+    """
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        file = lambda: pa.RecordBatch.from_arrays([pa.array([MAGIC[:-1], b"".join(held)], pa.binary())], ["value"])
+        for batch in batches:
+            for rec in batch.column("rec").to_pylist():
+                held.append(framed(redacted(rec)))
+                size += len(held[-1])
+                if size >= FILE_BYTES:
+                    yield file()
+                    held, size = [], 0
+        if held:
+            yield file()
+
+    lines = rows.where("rec IS NOT NULL").select("rec").mapInArrow(chunks, "value binary").select(F.col("value").cast("string").alias("value"))
+    lines.write.mode("append").option("lineSep", "\n").option("maxRecordsPerFile", 2).text(path)
+
+
+def read_logs(spark: SparkSession, path: str, stream: bool = False, files_per_batch: int = 1) -> DataFrame:
+    """file, seq, rec: the records of logs under any path that Spark's readers open; empty files have none."""
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for name, data in zip(pdf["path"], pdf["content"], strict=True):
-                rows = list(records(bytes(data)))
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                rows = list(records(data)) if data else []
                 for low in range(0, len(rows), 10_000):
                     part = rows[low : low + 10_000]
-                    yield pd.DataFrame({"file": name, "seq": range(low, low + len(part)), "rec": part})
+                    columns = [pa.array([name] * len(part)), pa.array(np.arange(low, low + len(part))), pa.array(part, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["file", "seq", "rec"])
+
+    if stream:
+        files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+        files = files.option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", "true").load(path)
+    else:
+        files = spark.read.format("binaryFile").load(path)
+    return files.select("path", "content").mapInArrow(split, SCHEMA)
+
+
+def _layout(size: int, **fields: tuple[str, int]) -> np.dtype:
+    return np.dtype({"names": list(fields), "formats": [f for f, _ in fields.values()], "offsets": [at for _, at in fields.values()], "itemsize": size})
+
+
+# Sizes, and type and byte offset of each field.
+IO = _layout(
+    296, kind=("u1", 0), dir=("u1", 1), length=("<u2", 2), fd=("<i4", 4), pid=("<u4", 8), tgid=("<u4", 12), ret=("<i8", 16), ts_ns=("<i8", 24), cgroup_id=("<i8", 32),
+    text=(f"S{TEXT_SIZE}", TEXT_AT),
+)
+SOCKET = _layout(
+    48, kind=("u1", 0), pid=("<u4", 8), tgid=("<u4", 12), ret=("<i8", 16), latency_ns=("<i8", 24), ts_ns=("<i8", 32), daddr_be=("<u4", 40), dport_be=("<u2", 44)
+)
+TIMES = _layout(32, kind=("u1", 0), dir=("u1", 1), fd=("<i4", 4), pid=("<u4", 8), tgid=("<u4", 12), ret=("<i8", 16), ts_ns=("<i8", 24))
+HANDSHAKE = _layout(48, kind=("u1", 0), pid=("<u4", 8), tgid=("<u4", 12), fd=("<i4", 16), ret=("<i8", 24), latency_ns=("<i8", 32), ts_ns=("<i8", 40))
+STACK = _layout(96, kind=("u1", 0), tgid=("<u4", 8), pid=("<u4", 12), ts_ns=("<i8", 16), n=("u1", 24), ips=("(8,)<i8", 32))
+FILE_OP = _layout(160, kind=("u1", 0), op=("u1", 1), pid=("<u4", 4), tgid=("<u4", 8), ts_ns=("<i8", 16), cgroup_id=("<i8", 24), path=("S128", 32))
+
+
+def gathered(column: pa.Array, layout: np.dtype, kinds: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Which records of a batch are of these kinds and long enough, and these as one array; others are unknown or cut off."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset).astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    chosen = np.flatnonzero(np.diff(offsets) >= layout.itemsize)
+    chosen = chosen[np.isin(data[offsets[chosen]], kinds)]
+    raw = data[offsets[chosen][:, None] + np.arange(layout.itemsize)]
+    return chosen, np.ascontiguousarray(raw).view(layout).reshape(-1)
+
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(split, SCHEMA)
+def _bytes(rows: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """A binary column of the first sizes[k] bytes of each of rows (records x width bytes)."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    flat = rows[np.arange(rows.shape[1]) < sizes[:, None]]
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
 
 
-def unsigned(b, at: int, size: int):
-    """A little-endian number at a byte offset, as a long (64-bit values keep their bit pattern)."""
-    turned = F.reverse(F.transform(F.sequence(F.lit(1), F.lit(size)), lambda k: F.hex(F.substring(b, k + at, F.lit(1)))))
-    text = F.array_join(turned, "")
-    if size < 8:
-        return F.conv(text, 16, 10).cast("long")
-    half = lambda start: F.conv(F.substring(text, start, 8), 16, 10).cast("long")
-    return F.shiftleft(half(1), 32).bitwiseOR(half(9))
+def _raw(r: np.ndarray, at: int, size: int) -> np.ndarray:
+    return r.view(np.uint8).reshape(len(r), r.dtype.itemsize)[:, at : at + size]
 
 
-def signed32(b, at: int):
-    value = unsigned(b, at, 4)
-    return F.when(value >= 1 << 31, value - (1 << 32)).otherwise(value).cast("int")
+_DIRECTION = np.array([None, *S.DIRECTIONS.values()], object)
+_TYPES = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
 
 
-def _kind(df: DataFrame, size: int, *kinds: int) -> DataFrame:
-    """The records of some kinds that are long enough; others are left out, as unknown or cut off."""
-    return df.where((F.length("rec") >= size) & unsigned(F.col("rec"), 0, 1).isin(*kinds)).withColumn("kind", unsigned(F.col("rec"), 0, 1).cast("int"))
+def _stack_ips(r: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(r["n"], dtype=np.int64)]).astype(np.int32)
+    return pa.ListArray.from_arrays(offsets, r["ips"][np.arange(8) < r["n"][:, None]])
+
+
+#: What isn't a plain number: how a column is made of the gathered records.
+_MADE = {
+    "dir": lambda r: pa.array(_DIRECTION[np.where(r["dir"] <= 2, r["dir"], 0)], pa.string()),
+    "prefix_len": lambda r: pa.array(np.minimum(r["length"], TEXT_SIZE), pa.int32()),
+    "prefix": lambda r: _bytes(_raw(r, TEXT_AT, TEXT_SIZE), np.minimum(r["length"], TEXT_SIZE)),
+    "ips": _stack_ips,
+    "path": lambda r: _bytes(_raw(r, 32, 128), np.full(len(r), 128)),
+}
+
+
+def _decoded(df: DataFrame, layout: np.dtype, kinds: tuple[int, ...], schema: str, valid=None) -> DataFrame:
+    """The columns of df but rec, and those of schema, for the records of some kinds."""
+    kept = [c for c in df.columns if c != "rec"]
+    columns = [tuple(c.split()) for c in schema.split(", ")]
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chosen, r = gathered(batch.column("rec"), layout, kinds)
+            if valid is not None:
+                ok = valid(r)
+                chosen, r = chosen[ok], r[ok]
+            made = [_MADE[c](r) if c in _MADE else pa.array(r[c].astype(np.int64), pa.int64()).cast(_TYPES[t]) for c, t in columns]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(chosen)) for c in kept], *made], [*kept, *[c for c, _ in columns]])
+
+    plain = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*kept).schema)
+    return df.mapInArrow(decode, f"{plain}, {schema}")
+
+
+IO_SCHEMA = "kind int, dir string, prefix_len int, fd int, pid long, tgid long, ret long, ts_ns long, cgroup_id long, prefix binary"
 
 
 def decode_io(df: DataFrame) -> DataFrame:
     """Kinds 3 and 4. The captured text is cut at its length (at most 256 bytes)."""
-    r = F.col("rec")
-    return _kind(df, 296, 3, 4).select(
-        "seq",
-        "kind",
-        S.coded(unsigned(r, 1, 1), S.DIRECTIONS).alias("dir"),
-        F.least(unsigned(r, 2, 2), F.lit(256)).cast("int").alias("prefix_len"),
-        signed32(r, 4).alias("fd"),
-        unsigned(r, 8, 4).alias("pid"),
-        unsigned(r, 12, 4).alias("tgid"),
-        unsigned(r, 16, 8).alias("ret"),
-        unsigned(r, 24, 8).alias("ts_ns"),
-        unsigned(r, 32, 8).alias("cgroup_id"),
-        F.substring(r, F.lit(TEXT_AT + 1), F.least(unsigned(r, 2, 2), F.lit(256)).cast("int")).alias("prefix"),
-    )
+    return _decoded(df, IO, (3, 4), IO_SCHEMA)
 
 
 def decode_socket(df: DataFrame) -> DataFrame:
-    r = F.col("rec")
-    return _kind(df, 48, 1, 2).select(
-        "seq", "kind", unsigned(r, 8, 4).alias("pid"), unsigned(r, 12, 4).alias("tgid"), unsigned(r, 16, 8).alias("ret"),
-        unsigned(r, 24, 8).alias("latency_ns"), unsigned(r, 32, 8).alias("ts_ns"), unsigned(r, 40, 4).alias("daddr_be"), unsigned(r, 44, 2).cast("int").alias("dport_be"),
-    )
+    return _decoded(df, SOCKET, (1, 2), "kind int, pid long, tgid long, ret long, latency_ns long, ts_ns long, daddr_be long, dport_be int")
 
 
 def decode_times(df: DataFrame) -> DataFrame:
-    r = F.col("rec")
-    return _kind(df, 32, 5).select(
-        "seq", S.coded(unsigned(r, 1, 1), S.DIRECTIONS).alias("dir"), signed32(r, 4).alias("fd"), unsigned(r, 8, 4).alias("pid"),
-        unsigned(r, 12, 4).alias("tgid"), unsigned(r, 16, 8).alias("ret"), unsigned(r, 24, 8).alias("ts_ns"),
-    )
+    return _decoded(df, TIMES, (5,), "dir string, fd int, pid long, tgid long, ret long, ts_ns long")
 
 
 def decode_handshake(df: DataFrame) -> DataFrame:
-    r = F.col("rec")
-    return _kind(df, 48, 6).select(
-        "seq", unsigned(r, 8, 4).alias("pid"), unsigned(r, 12, 4).alias("tgid"), signed32(r, 16).alias("fd"),
-        unsigned(r, 24, 8).alias("ret"), unsigned(r, 32, 8).alias("latency_ns"), unsigned(r, 40, 8).alias("ts_ns"),
-    )
+    return _decoded(df, HANDSHAKE, (6,), "pid long, tgid long, fd int, ret long, latency_ns long, ts_ns long")
 
 
 def decode_stacks(df: DataFrame) -> DataFrame:
     """Kind 7; more than 8 frames is no record. The process id stands before the thread's here."""
-    r = F.col("rec")
-    n = unsigned(r, 24, 1).cast("int")
-    ips = F.array(*[unsigned(r, 32 + 8 * k, 8) for k in range(8)])
-    return _kind(df, 96, 7).where(n <= 8).select(
-        "seq", unsigned(r, 8, 4).alias("tgid"), unsigned(r, 12, 4).alias("pid"), unsigned(r, 16, 8).alias("ts_ns"), F.slice(ips, F.lit(1), n).alias("ips")
-    )
+    return _decoded(df, STACK, (7,), "tgid long, pid long, ts_ns long, ips array<long>", lambda r: r["n"] <= 8)
 
 
 def decode_file_ops(df: DataFrame) -> DataFrame:
-    r = F.col("rec")
-    return _kind(df, 160, 8).select(
-        "seq", unsigned(r, 1, 1).cast("int").alias("op"), unsigned(r, 4, 4).alias("pid"), unsigned(r, 8, 4).alias("tgid"), unsigned(r, 16, 8).alias("ts_ns"),
-        unsigned(r, 24, 8).alias("cgroup_id"), S.c_string(F.substring(r, 33, 128)).alias("path"),
-    )
+    found = _decoded(df, FILE_OP, (8,), "op int, pid long, tgid long, ts_ns long, cgroup_id long, path binary")
+    return found.withColumn("path", S.c_string(F.col("path")))
+
+
+def encode(rows: DataFrame, layout: np.dtype) -> DataFrame:
+    """seq, rec: records of a layout, its fields from the columns of the same names (dir as R or W, texts as ISO-8859-1); others are 0."""
+    fields = [n for n in layout.names if n in rows.columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            r = np.zeros(batch.num_rows, layout)
+            for name in fields:
+                column = batch.column(name)
+                if name == "dir":
+                    r[name] = [1 if d == "R" else 2 if d == "W" else 0 for d in column.to_pylist()]
+                elif name in ("text", "path"):
+                    found = [(t or "").encode("latin-1", "replace") for t in column.to_pylist()]
+                    r[name] = found
+                    if "length" in layout.names:
+                        r["length"] = np.minimum([len(t) for t in found], TEXT_SIZE)
+                elif name == "ips":
+                    for k, ips in enumerate(column.to_pylist()):
+                        r[name][k, : len(ips)] = ips[:8]
+                        r["n"][k] = len(ips)
+                else:
+                    r[name] = column.to_numpy(zero_copy_only=False)
+            offsets = (np.arange(len(r) + 1) * layout.itemsize).astype(np.int32)
+            rec = pa.Array.from_buffers(pa.binary(), len(r), [None, pa.py_buffer(offsets), pa.py_buffer(r.tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column("seq"), rec], ["seq", "rec"])
+
+    seq = rows.select("seq").schema[0].dataType.simpleString()
+    return rows.select("seq", *fields).mapInArrow(run, f"seq {seq}, rec binary")
+
+
+def encode_io(m: DataFrame) -> DataFrame:
+    """seq, rec: I/O records (kind 3, or 4 with tls) of rows seq, tgid, pid, fd, dir, ret, ts_ns, cgroup_id, text, tls."""
+    return encode(m.withColumn("kind", F.when(F.col("tls"), 4).otherwise(3)), IO)
 
 
 def little_endian(value, size: int):
-    """A number as little-endian bytes, the reverse of unsigned."""
+    """A number as little-endian bytes."""
     digits = F.lpad(F.hex(value.cast("long")), 16, "0")
     parts = F.transform(F.sequence(F.lit(1), F.lit(size)), lambda k: F.substring(digits, F.lit(17) - k * 2, F.lit(2)))
     return F.unhex(F.array_join(parts, ""))
-
-
-def encode_io(m: DataFrame) -> DataFrame:
-    """seq, rec: I/O records (kind 3, or 4 with tls) of rows seq, tgid, pid, fd, dir, ret, ts_ns, cgroup_id, text, tls."""
-    text = F.left(F.col("text"), F.lit(TEXT_SIZE))
-    body = F.encode(text, "ISO-8859-1")
-    parts = [
-        little_endian(F.when(F.col("tls"), 4).otherwise(3), 1),
-        little_endian(F.when(F.col("dir") == "R", 1).otherwise(2), 1),
-        little_endian(F.length(body), 2),
-        little_endian(F.col("fd"), 4),
-        little_endian(F.col("pid"), 4),
-        little_endian(F.col("tgid"), 4),
-        little_endian(F.col("ret"), 8),
-        little_endian(F.col("ts_ns"), 8),
-        little_endian(F.col("cgroup_id"), 8),
-        body,
-        F.encode(F.repeat(F.lit("\0"), F.lit(TEXT_SIZE) - F.length(body)), "ISO-8859-1"),
-    ]
-    return m.select("seq", F.concat(*parts).alias("rec"))
