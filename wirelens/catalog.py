@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .config import DEFAULT, SECOND
 from .functions import scalars as S
 from .operators import aggregates as A
-from .operators import crosscheck, enrich, export, filters, genai, h2, pairing, policy, promql, reassembly, sampling, wire
+from .operators import crosscheck, enrich, export, filters, genai, pairing, policy, promql, reassembly, sampling, wire
 from .plans.messages import EXCHANGES_SQL, MESSAGES_SQL, epoch_ns, exchanges, messages, table
-from .sources import evlog
 
 DAY = 86_400 * SECOND
 WEEK = 7 * DAY
@@ -251,12 +251,6 @@ def span_ids(spark, sf):
     return export.with_span_ids(exchanges(spark, sf)).select("seq", F.substring("trace_id", 1, 16).alias("trace_high"))
 
 
-@query(r"SELECT doc_id, regexp_matches(coalesce(text, ''), '^((GET|POST|PUT|HEAD|DELETE|OPTIONS|PATCH|PRI) |HTTP/)') AS magic, starts_with(coalesce(text, ''), 'The') AS the FROM documents")
-def http_magic(spark, sf):
-    text = F.coalesce("text", F.lit(""))
-    return table(spark, sf, "documents").select("doc_id", S.http_magic(text).alias("magic"), text.startswith("The").alias("the"))
-
-
 @query(
     f"""{M}, r AS (SELECT seq, tgid::VARCHAR || 'k' || k AS v FROM m)
 SELECT seq, 'GET /u HTTP/1.1' || chr(13) || chr(10) || 'X-Api-Key: ' || repeat('*', length(v)) || chr(13) || chr(10) || 'cookie:  ' || repeat('*', 2 + length(v)) || chr(13) || chr(10)
@@ -555,9 +549,9 @@ def page_merge(spark, sf):
     return filters.page_merge(messages(spark, sf).select(F.col("tgid").alias("uid"), F.col("ts_ns").alias("page"), F.col("dst").alias("name")), "uid", "page")
 
 
-@query("SELECT c_custkey AS id FROM customer WHERE c_custkey < 50 UNION SELECT s_suppkey FROM supplier")
+@query("SELECT c_custkey AS id FROM customer UNION SELECT s_suppkey FROM supplier")
 def self_ids(spark, sf):
-    return filters.self_ids(_ids(spark, sf, "customer", "c_custkey").where("id < 50"), _ids(spark, sf, "supplier", "s_suppkey"))
+    return filters.self_ids(_ids(spark, sf, "customer", "c_custkey"), _ids(spark, sf, "supplier", "s_suppkey"))
 
 
 # --- binary records -----------------------------------------------------------------------------------------------
@@ -565,34 +559,30 @@ def self_ids(spark, sf):
 
 def _io(spark, sf):
     text = F.concat(F.coalesce("method", F.lit("HTTP/1.1")), F.lit(" "), F.coalesce(F.col("status").cast("string"), F.col("path")), F.lit("\r\n\r\n"))
-    return messages(spark, sf).select(
-        "seq", "tgid", F.col("tgid").alias("pid"), F.col("fd"), "dir", F.length(text).cast("long").alias("ret"), "ts_ns", F.col("k").cast("long").alias("cgroup_id"), text.alias("text"), (F.col("k") % 2 == 0).alias("tls")
-    )
-
-
-_IO = r"""t AS (SELECT *, coalesce(method, 'HTTP/1.1') || ' ' || coalesce(status::VARCHAR, path) || chr(13) || chr(10) || chr(13) || chr(10) AS text FROM m)"""
-
+    return messages(spark, sf).select("seq", "tgid", F.col("tgid").alias("pid"), F.col("fd"), "dir", "ts_ns", F.col("k").cast("long").alias("cgroup_id"), "k", text.alias("text"))
 
-@query(f"{M}, {_IO} SELECT seq, CASE WHEN k % 2 = 0 THEN 4 ELSE 3 END AS kind, dir, length(text)::INT AS prefix_len, fd, tgid AS pid, tgid, length(text) AS ret, ts_ns, k AS cgroup_id, text FROM t")
-def decode_io(spark, sf):
-    return evlog.decode_io(evlog.encode_io(_io(spark, sf))).withColumn("text", S.latin1(F.col("prefix"))).drop("prefix")
 
+_PARTS_SQL = f"""{M}, t AS (SELECT *, row_number() OVER (PARTITION BY tgid, fd, dir ORDER BY ts_ns, seq) AS i, coalesce(method, 'HTTP/1.1') || ' ' || coalesce(status::VARCHAR, path) || chr(13) || chr(10) || chr(13) || chr(10) AS text FROM m),
+u AS (SELECT *, i * 100 * {SECOND}::BIGINT AS began, CASE k % 4 WHEN 0 THEN 61 ELSE 1 END * {SECOND}::BIGINT AS gap, CASE WHEN k % 5 = 0 THEN left(text, length(text) - 4) || chr(13) || chr(10) || 'x: ' || repeat('y', 9000) ELSE text END AS whole FROM t)"""
 
-@query(f"{M}, {_IO} SELECT CASE WHEN k % 2 = 0 THEN 'tls_io' ELSE 'sock_io' END AS kind, count(*) AS n, sum(length(text))::BIGINT AS bytes FROM t GROUP BY 1")
-def decode_kinds(spark, sf):
-    d = evlog.decode_io(evlog.encode_io(_io(spark, sf)))
-    return d.groupBy(S.coded(F.col("kind"), S.KINDS).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum("prefix_len").alias("bytes"))
 
-
-@query(f"{M}, {_IO} SELECT tgid, 3 AS fd, 'W' AS dir, seq * 2 + 1 AS seq, ts_ns, text, 3 AS kind, tgid AS pid, k::BIGINT AS cgroup_id FROM t WHERE method IS NOT NULL")
+@query(
+    f"""{_PARTS_SQL} SELECT tgid, 3 AS fd, dir, i * 2 + 1 AS seq, CASE WHEN method IS NULL THEN began + gap ELSE began END AS ts_ns, left(whole, 256) AS text, 3 AS kind, tgid AS pid, k::BIGINT AS cgroup_id
+FROM u WHERE gap <= 60 * {SECOND}::BIGINT"""
+)
 def reassembly_split(spark, sf):
-    m = _io(spark, sf).where("text LIKE 'GET%' OR text LIKE 'POST%'").where("dir = 'W'")
-    halves = F.explode(F.array(F.struct(F.lit(0).alias("i"), F.substring("text", 1, 9).alias("part")), F.struct(F.lit(1).alias("i"), F.substring("text", 10, 1000).alias("part"))))
-    chunks = m.select("tgid", "fd", "dir", "seq", "ts_ns", "pid", "cgroup_id", halves.alias("h")).select(
-        "tgid", "fd", "dir", F.expr("seq * 2 + h.i").alias("seq"), F.expr("ts_ns + h.i").alias("ts_ns"), F.col("h.part").alias("text"), F.lit(3).alias("kind"), "pid", "cgroup_id"
+    """Requests and responses in two parts: some wait longer than the TTL, some never end and are cut at the cap."""
+    w = Window.partitionBy("tgid", "fd", "dir").orderBy("ts_ns", "seq")
+    m = _io(spark, sf).withColumn("i", F.row_number().over(w).cast("long")).withColumn("at", F.col("i") * 100 * SECOND)
+    cut = F.expr("left(text, length(text) - 4)")
+    whole = F.when(F.col("k") % 5 == 0, F.concat(cut, F.lit("\r\nx: "), F.repeat(F.lit("y"), F.lit(9000)))).otherwise(F.col("text"))
+    gap = F.when(F.col("k") % 4 == 0, 61).otherwise(1).cast("long") * SECOND
+    m = m.withColumn("text", whole).withColumn("gap", gap)
+    halves = F.explode(F.array(F.struct(F.lit(0).alias("i"), F.substring("text", 1, 9).alias("part")), F.struct(F.lit(1).alias("i"), F.substring("text", 10, 10_000).alias("part"))))
+    chunks = m.select("tgid", "fd", "dir", (F.col("i") * 2).alias("seq"), "at", "gap", "pid", "cgroup_id", halves.alias("h")).select(
+        "tgid", "fd", "dir", F.expr("seq + h.i").alias("seq"), F.expr("at + h.i * gap").alias("ts_ns"), F.col("h.part").alias("text"), F.lit(3).alias("kind"), "pid", "cgroup_id"
     )
-    # Here seq isn't the order in time, so the TTL is out of play.
-    return reassembly.reassemble(chunks, ttl_ns=1 << 62)
+    return reassembly.reassemble(chunks)
 
 
 # --- query layer --------------------------------------------------------------------------------------------------
@@ -601,8 +591,6 @@ def reassembly_split(spark, sf):
 def _points(spark, sf):
     """Cumulative requests per edge and hour."""
     h = exchanges(spark, sf).groupBy("src", "dst", (F.col("t_end_ns") - F.pmod("t_end_ns", F.lit(3600 * SECOND))).alias("ts_ns")).agg(F.count(F.lit(1)).alias("c"))
-    from pyspark.sql.window import Window
-
     return h.select("src", "dst", "ts_ns", F.sum("c").over(Window.partitionBy("src", "dst").orderBy("ts_ns")).cast("double").alias("value"))
 
 
@@ -803,29 +791,6 @@ def otlp_traces_json(spark, sf):
     return export.traces_json(spans)
 
 
-@query()
-def h2_replay(spark, sf):
-    """HTTP/2 connections made of the messages: a preface, then a header frame for each half, by stream."""
-    k = F.col("k")
-    size = lambda n: evlog.little_endian(F.lit(0), 2) if n is None else F.concat(evlog.little_endian(F.lit(0), 2), evlog.little_endian(n, 1))
-    stream = F.concat(evlog.little_endian(F.lit(0), 3), evlog.little_endian(k * 2 + 1, 1))
-    path = F.encode("path", "ISO-8859-1")
-    block = F.when(F.col("method").isNotNull(), F.concat(F.when(F.col("method") == "GET", F.unhex(F.lit("8204"))).otherwise(F.unhex(F.lit("8304"))), evlog.little_endian(F.length(path), 1), path)).otherwise(
-        F.when(F.col("status") == 200, F.unhex(F.lit("88"))).when(F.col("status") == 404, F.unhex(F.lit("8d"))).otherwise(F.unhex(F.lit("8e")))
-    )
-    header = F.concat(size(F.length(block)), F.unhex(F.lit("0104")), stream, block)
-    m = messages(spark, sf)
-    chunks = m.select("tgid", "fd", F.col("ts_ns").alias("seq"), (F.col("seq") * 0 + F.col("ts_ns") / 1_000_000).cast("long").alias("ts_ns"), "dir", header.alias("prefix"), F.lit(False).alias("client_only"))
-    opened = m.groupBy("tgid", "fd").agg(F.min("ts_ns").alias("t")).select("tgid", "fd", (F.col("t") - 1).alias("seq"), (F.col("t") / 1_000_000).cast("long").alias("ts_ns"), F.lit("W").alias("dir"), F.encode(F.lit("PRI * HTTP/2.0\r\n\r\nSM\r\n\r\n"), "ISO-8859-1").alias("prefix"), F.lit(False).alias("client_only"))
-    return h2.h2_exchanges(chunks.unionByName(opened))
-
-
-@query()
-def replay_log(spark, sf):
-    """The whole replay over records made of the messages: scan, decode, route, pair, report."""
-    from .plans import replay
-
-    return replay.report(evlog.encode_io(_io(spark, sf)).select("seq", "rec"))
-
-
 __all__ = ["ORACLES", "QUERIES", "epoch_ns"]
+
+from . import catalog_logs  # noqa: E402,F401  (registers its queries)

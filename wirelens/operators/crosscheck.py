@@ -10,8 +10,10 @@ from pyspark.sql.window import Window
 GREEDY = "row_id long, span_id long"
 
 
-def comparable(steps: DataFrame) -> DataFrame:
-    return steps.where("is_stream AND fault IS NULL AND outcome = 'ok'")
+def comparable(steps: DataFrame, server: str = "") -> DataFrame:
+    """Streamed steps without a fault that went well, of servers whose name has `server` in it."""
+    good = steps.where("is_stream AND fault IS NULL AND outcome = 'ok'")
+    return good.where(F.col("server").contains(server)) if server else good
 
 
 def candidates(rows: DataFrame, spans: DataFrame, window: float, key: str | None = None) -> DataFrame:
@@ -72,8 +74,8 @@ def zip_rows(left: DataFrame, right: DataFrame, key: str, order: str) -> DataFra
 
 
 def read_steps(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
-    """The gateway's steps in order of time: an export, or its database through JDBC."""
-    return spark.read.format(fmt).options(**options).load(path).orderBy("ts")
+    """The gateway's steps: an export, or its database through JDBC. Who needs them in order of time sorts what is left."""
+    return spark.read.format(fmt).options(**options).load(path)
 
 
 def token_agreement(pairs: DataFrame, seen: str, true: str) -> DataFrame:

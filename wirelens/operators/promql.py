@@ -62,6 +62,12 @@ def cumulative_buckets(rows: DataFrame, by: list[str], bounds: tuple[int, ...])
     return sums.select(*by, F.element_at(le, F.col("i") + 1).alias("le"), running.cast("double").alias("value"))
 
 
+def rate_quantile(q: float, points: DataFrame, series: list[str], by: list[str], at_ns: Column, window_ns: int) -> DataFrame:
+    """by, quantile: of the summed rates of bucket counters (series, le, ts_ns, value) over a window."""
+    rates = summed(rate(points, [*series, "le"], at_ns, window_ns), "rate", [*by, "le"])
+    return histogram_quantile(q, rates.withColumnRenamed("rate", "value"), by)
+
+
 def histogram_quantile(q: float, buckets: DataFrame, by: list[str]) -> DataFrame:
     """by, quantile: linear within the bucket that holds rank q of the total; the last finite bound beyond it.
 
@@ -69,8 +75,10 @@ def histogram_quantile(q: float, buckets: DataFrame, by: list[str]) -> DataFrame
     """
     w = Window.partitionBy(*by).orderBy("le")
     total = F.max("value").over(Window.partitionBy(*by))
+    # Rates of neighbouring buckets may fall a little; a cumulative count can't.
     rows = (
-        buckets.withColumn("total", total)
+        buckets.withColumn("value", F.max("value").over(w))
+        .withColumn("total", total)
         .withColumn("low", F.coalesce(F.lag("le").over(w), F.lit(0.0)))
         .withColumn("below", F.coalesce(F.lag("value").over(w), F.lit(0.0)))
         .where("total > 0")
