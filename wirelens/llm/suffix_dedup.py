@@ -67,18 +67,22 @@ class Anchors:
 
     def __init__(self, data: np.ndarray, lengths: np.ndarray):
         parts = [self._slice(data, low, min(low + SLICE, len(data) - SPAN + 1)) for low in range(0, max(0, len(data) - SPAN + 1), SLICE)]
-        owner = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
+        owner = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int32)
         gram = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.uint64)
+        # Windows of one document with one anchor are a run; a document's first and last windows bound its runs.
         ends = np.cumsum(lengths)
-        doc_of = np.repeat(np.arange(len(lengths)), lengths)[: len(owner)]
-        inside = np.arange(len(owner)) + SPAN <= ends[doc_of]
-        at = np.flatnonzero(inside)
-        # Windows of one document with one anchor are a run.
-        new = np.ones(len(at), bool)
-        new[1:] = (owner[at][1:] != owner[at][:-1]) | (doc_of[at][1:] != doc_of[at][:-1]) | (np.diff(at) != 1)
-        self.start = at[new]
-        self.count = np.diff(np.append(np.flatnonzero(new), len(at)))
-        self.doc = doc_of[self.start]
+        begin, over = ends - lengths, np.maximum(ends - SPAN + 1, ends - lengths)
+        cut = np.zeros(len(owner) + 1, bool)
+        cut[1:-1] = owner[1:] != owner[:-1]
+        cut[begin[begin < len(cut)]] = True
+        cut[over[over < len(cut)]] = True
+        edge = np.flatnonzero(cut)
+        edge = edge[edge < len(owner)]
+        doc = np.searchsorted(ends, edge, side="right")
+        own = edge < over[np.minimum(doc, len(over) - 1)] if len(over) else np.zeros(0, bool)
+        self.start = edge[own]
+        self.count = np.diff(np.append(edge, len(owner)))[own]
+        self.doc = doc[own]
         self.hash = gram[self.start]
 
     @staticmethod
@@ -96,8 +100,8 @@ class Anchors:
         rest = REACH - width
         if rest:
             key = np.minimum(key[:-rest], key[rest:])
-        place = (key & np.uint64(0xFFFFF)).astype(np.int64)
-        return place + low, grams[place]
+        place = (key & np.uint64(0xFFFFF)).astype(np.int32)
+        return place + np.int32(low), grams[place]
 
 
 def context_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -263,22 +267,18 @@ def window_sources(data: np.ndarray, size: np.ndarray, least: np.ndarray) -> np.
     start = np.cumsum(size) - size
     same = context_hashes(data, start, size)
     order = np.lexsort((size, same))
-    text = data.tobytes()
-    keep, twin = [], np.empty(len(size), np.int64)
-    smallest: list[int] = []
-    last_key, seen = None, {}
-    for k in order.tolist():
-        key = (same[k], size[k])
-        if key != last_key:
-            last_key, seen = key, {}
-        body = text[start[k] : start[k] + size[k]]
-        if body not in seen:
-            seen[body] = len(keep)
-            keep.append(k)
-            smallest.append(int(least[k]))
-        twin[k] = seen[body]
-        smallest[twin[k]] = min(smallest[twin[k]], int(least[k]))
-    keep, smallest = np.array(keep, np.int64), np.array(smallest, np.int64)
+    new = np.ones(len(order), bool)
+    new[1:] = (same[order][1:] != same[order][:-1]) | (size[order][1:] != size[order][:-1])
+    twin = np.empty(len(size), np.int64)
+    twin[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    others = np.flatnonzero(twin != np.arange(len(size)))
+    differ = data[ranges(start[others], size[others])] != data[ranges(start[twin[others]], size[others])]
+    if differ.any():  # of one hash, but not equal: each stands for itself
+        apart = others[np.add.reduceat(differ, np.cumsum(size[others]) - size[others]) > 0]
+        twin[apart] = apart
+    keep, twin = np.unique(twin, return_inverse=True)
+    smallest = np.full(len(keep), LAST)
+    np.minimum.at(smallest, twin, least)
     n = size[keep]
     # Each context is followed by a byte that no UTF-8 text has, so no window reaches over its end.
     flat = np.full(int(n.sum()) + len(n), 255, np.uint8)

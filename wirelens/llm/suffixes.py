@@ -179,30 +179,30 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     return induce(text, smaller, lms[ranked], 257)[1:]
 
 
-def words_at(data: np.ndarray) -> np.ndarray:
-    """The eight bytes from each position on as one number (zeros beyond the end)."""
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    return np.lib.stride_tricks.as_strided(padded, (len(data), 8), (1, 1)).copy().view(np.uint64).ravel()
+def words_at(data: np.ndarray, beyond: int = 0) -> np.ndarray:
+    """The eight bytes from each position on as one number (zeros beyond the end), and `beyond` zeros."""
+    padded = np.concatenate([data, np.zeros(8 + beyond, np.uint8)])
+    return np.lib.stride_tricks.as_strided(padded, (len(data) + beyond, 8), (1, 1)).copy().view(np.uint64).ravel()
 
 
 def common_prefixes(data: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
     """Permuted longest common prefixes, up to `depth`: by position, with the suffix before it in order."""
-    out = np.zeros(len(data), np.int64)
+    out = np.zeros(len(data), np.int32)
     if len(data) < 2:
         return out
-    before = np.full(len(data), -1, np.int64)
+    before = np.empty(len(data), order.dtype)
     before[order[1:]] = order[:-1]
-    words = words_at(data)
-    at = np.flatnonzero(before >= 0)
+    words = words_at(data, depth + 8)
+    at = np.delete(np.arange(len(data), dtype=order.dtype), order[0])
+    other = before[at]
     for k in range(0, depth, 8):
-        inside = (at + k < len(data)) & (before[at] + k < len(data))
-        at = at[inside]
-        x, y = words[at + k], words[before[at] + k]
-        differ = x ^ y
-        # Low bytes come first: the zero bits below the lowest difference, in bytes (64 if there is none). Equal
-        # padding beyond the end is cut off below.
-        out[at] += np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)) >> 3
-        at = at[differ == 0]
-    every = np.flatnonzero(before >= 0)
-    out[every] = np.minimum(out[every], np.minimum(len(data) - every, len(data) - before[every]))
-    return np.minimum(out, depth)
+        differ = words[k:][at] ^ words[k:][other]
+        equal = differ == 0
+        here, low = at[~equal], differ[~equal]
+        # Low bytes come first: the zero bits below the lowest difference, in bytes.
+        out[here] = k + (np.bitwise_count((low & (~low + np.uint64(1))) - np.uint64(1)) >> 3)
+        at, other = at[equal], other[equal]
+    out[at] = depth
+    # Zeros beyond the end agree with nothing.
+    before[order[0]] = len(data)
+    return np.minimum(np.minimum(out, depth), len(data) - np.maximum(before, np.arange(len(data), dtype=order.dtype)))
