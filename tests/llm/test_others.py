@@ -551,3 +551,26 @@ def test_pipeline(spark):
     last = corpus_pipeline.STAGES[-1][1](spark, seen[-1], SF)
     assert last.count() == n[4]
     assert corpus_pipeline.run(spark, SF).count() == n[4]
+
+
+def test_pipeline_of_odd_rows(spark):
+    """Null, empty, repeated and shared rows, and columns whose names are used inside; no text is lost that nothing stands for."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    given = spark.read.parquet(f"{SF}/documents.parquet")
+    top = (1 << 63) - 1
+    texts = [r.text for r in given.orderBy("doc_id").limit(60).collect()]
+    t, u = [x for x in texts if len(x.split()) > 80][:2]
+    odd = [(3_000_001, t), (3_000_002, t), (3_000_002, u), (3_000_003, u), (top, u), (None, None), (None, ""), (None, t), (3_000_004, None), (3_000_004, None), (3_000_005, "")]
+    rows = [(k, x) for k, x in enumerate(texts)] + odd + odd[:2]
+    frame = spark.createDataFrame([(i, x, "en", "s", len(x or ""), 1, 2, 3) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long, rep long, comp long, __row long")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, frame, SF)
+        assert out.columns == frame.columns, name
+        assert stage(spark, frame.limit(0), SF).count() == 0, name
+    kept = [r.text for r in corpus_pipeline.drop_near_copies(spark, frame, SF).collect()]
+    sets = [set(zip(*[x.split()[k:] for k in range(5)], strict=False)) for x in kept if x]
+    for x in texts + [t, u]:
+        mine = set(zip(*[x.split()[k:] for k in range(5)], strict=False))
+        assert not mine or any(len(mine & s) >= 0.4 * len(mine | s) for s in sets)  # itself, or what it is linked with
+    assert sum(x == t for x in kept) <= 1 and sum(x == u for x in kept) <= 1
+    assert corpus_pipeline.STAGES[-1][1](spark, frame, SF).count() == len(rows)
