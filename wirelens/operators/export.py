@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from urllib.parse import urlsplit, urlunsplit
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -149,18 +151,25 @@ def endpoint(base: str, signal: str) -> str:
 
 
 def post(documents: DataFrame, url: str, timeout: float = 5.0) -> dict[str, int]:
-    """Sends each document; failures are counted, not tried again; without documents nothing is sent."""
-    import urllib.request
-
-    sent = {"sent": 0, "failed": 0}
-    for row in documents.select("json").toLocalIterator():
-        request = urllib.request.Request(url, row.json.encode(), {"Content-Type": "application/json"})
-        try:
-            with urllib.request.urlopen(request, timeout=timeout):
-                sent["sent"] += 1
-        except OSError:
-            sent["failed"] += 1
-    return sent
+    """Sends each document from the task that holds it; failures are counted, not tried again; without documents nothing is sent."""
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import urllib.request
+
+        for pdf in batches:
+            done = []
+            for text in pdf["json"]:
+                request = urllib.request.Request(url, text.encode(), {"Content-Type": "application/json"})
+                try:
+                    with urllib.request.urlopen(request, timeout=timeout):
+                        done.append(True)
+                except OSError:
+                    done.append(False)
+            yield pd.DataFrame({"done": done})
+
+    told = documents.where("json IS NOT NULL").select("json").mapInPandas(send, "done boolean")
+    row = told.agg(F.count_if("done").alias("sent"), F.count_if(~F.col("done")).alias("failed")).first()
+    return row.asDict()
 
 
 def sink_spans(lines: DataFrame, prefix: str = SCOPE) -> DataFrame:
