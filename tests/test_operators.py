@@ -1,9 +1,11 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from wirelens.operators import aggregates, crosscheck, enrich, export, filters, pairing, policy, promql, ranks, reassembly, sampling, wire
+from wirelens.sources import lists
 
 MS = 1_000_000
 
@@ -145,7 +147,7 @@ def test_greedy_prefers_the_longest_then_the_nearest(spark):
     rows = spark.createDataFrame([(1, 10.0), (2, 10.1), (3, 50.0)], "row_id long, ts double")
     spans = spark.createDataFrame([(1, 10.05, 5.0), (2, 10.2, 9.0), (3, 10.0, 9.0)], "span_id long, end double, total double")
     pairs = crosscheck.candidates(rows, spans, 0.4).withColumn("g", F.lit(1))
-    got = crosscheck.greedy(pairs, "g")
+    got = crosscheck.greedy(pairs, "g", 0.4)
     assert sorted(map(tuple, got.collect())) == [(1, 3), (2, 2)]
     assert [r.row_id for r in crosscheck.unmatched(rows, got, "row_id").collect()] == [3]
 
@@ -177,3 +179,33 @@ def test_documents_are_json(spark):
     counters = spark.createDataFrame([("wirelens.events_dropped", "sum", 3), ("wirelens.sample_n", "gauge", 1)], "name string, kind string, value long")
     metrics = json.loads(export.metrics_json(export.counter_points(counters, 0, 9)).first().json)
     assert [m["name"] for m in metrics["resourceMetrics"][0]["scopeMetrics"][0]["metrics"]] == ["wirelens.events_dropped", "wirelens.sample_n"]
+
+
+def test_lists_come_in_pages(spark):
+    item = lambda name: {"metadata": {"uid": name, "namespace": "d", "name": name}}
+    served = {None: ("a", "1"), "1": ("b", "2"), "2": ("c", "")}
+    fetch = lambda token: json.dumps({"items": [item(served[token][0])], "metadata": {"continue": served[token][1]}})
+    assert sorted(r.uid for r in enrich.pod_table(lists.listed(spark, fetch)).collect()) == ["a", "b", "c"]
+    assert len(list(lists.pages(fetch, 3))) == 3
+    with pytest.raises(lists.ListError):
+        list(lists.pages(fetch, 2))
+
+    def broken(token):
+        raise OSError("no answer")
+
+    assert lists.listed(spark, fetch, 2) is None and lists.listed(spark, broken) is None
+    assert lists.listed(spark, lambda token: json.dumps({"items": []})).count() == 1
+
+
+def test_greedy_in_runs_equals_one_fold(spark):
+    draw = random.Random(4)
+    rows = spark.createDataFrame([(k, draw.choice("ab"), draw.uniform(0, 400)) for k in range(300)], "row_id long, g string, ts double")
+    spans = spark.createDataFrame([(k, draw.choice("ab"), draw.uniform(0, 400), float(draw.randint(1, 5))) for k in range(300)], "span_id long, g string, end double, total double")
+    pairs = crosscheck.candidates(rows, spans, 1.0, "g")
+    held, used, want = pairs.collect(), set(), []
+    for row in rows.orderBy("ts", "row_id").collect():
+        free = sorted((-p.total, p.gap, p.span_id) for p in held if p.row_id == row.row_id and p.span_id not in used)
+        if free:
+            used.add(free[0][2])
+            want.append((row.row_id, free[0][2]))
+    assert sorted(map(tuple, crosscheck.greedy(pairs, "g", 1.0).collect())) == sorted(want)

@@ -185,5 +185,34 @@ def test_session_and_policy_streams(spark, tmp_path):
     spark.createDataFrame([(1, 1, "/etc/ssh/key"), (2, 1, "/etc/sshd"), (3, 2, "/bin/nc")], "seq long, op int, path string").coalesce(1).write.parquet(str(tmp_path / "o"))
     o = streaming.files(spark, str(tmp_path / "o"), spark.read.parquet(str(tmp_path / "o")))
     rules = policy.rule_table(spark, "deny_open /etc/ssh\ndeny_exec nc\n")
-    got = streaming.drain(streaming.policy_violations(o, rules), "append", str(tmp_path / "c2"), "broken")
+    keep = lambda found: found.write.mode("append").parquet(str(tmp_path / "found"))
+    streaming.policy_violations(o, rules, keep).option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "found"))
     assert sorted((r.seq, r.rule) for r in got.collect()) == [(1, "deny_open /etc/ssh"), (3, "deny_exec nc")]
+
+
+def test_late_rows_and_rolling_windows(spark, tmp_path):
+    at = lambda seconds: [(s * 1_000_000_000,) for s in seconds]
+    for part, seconds in enumerate(([0, 300], [301], [10, 270])):  # late rows are held against the batch before the last: 10 is behind 240
+        spark.createDataFrame(at(seconds), "ts_ns long").coalesce(1).write.parquet(str(tmp_path / "in" / f"{part}"))
+    stream = spark.readStream.schema("ts_ns long").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    got = streaming.drain(streaming.tick_rate(stream), "update", str(tmp_path / "c1"), "late_ticks")
+    assert sorted(r.s for r in got.selectExpr("unix_timestamp(tick) AS s").collect()) == [0, 270, 300, 301]
+
+    x = [("GET", f"/u/{k}", "http", 500 if k == 0 else 200, 1000 + k, (30 + 40 * k) * 1_000_000_000) for k in range(3)]
+    spark.createDataFrame(x, "method string, path string, protocol string, status int, latency_ns long, t_end_ns long").coalesce(1).write.parquet(str(tmp_path / "x"))
+    ends = streaming.files(spark, str(tmp_path / "x"), spark.read.parquet(str(tmp_path / "x")))
+    got = streaming.drain(streaming.rolling_endpoints(ends, "20 seconds", "60 seconds"), "complete", str(tmp_path / "c2"), "rolling")
+    found = {r.s: (r.path, r.n, r.p50_ns, r.n_5xx) for r in got.selectExpr("unix_timestamp(window.start) AS s", "*").collect()}
+    want = {s: [k for k in range(3) if s <= 30 + 40 * k < s + 60] for s in range(-20, 120, 20)}
+    assert found == {s: ("/u/:id", len(ks), 1000 + ks[(len(ks) - 1) // 2], int(0 in ks)) for s, ks in want.items() if ks}
+
+
+def test_stack_stream_of_a_log(spark, tmp_path):
+    stacks = [struct.pack("<B7xIIQB7x8Q", 7, 21, 22, k, 2, k, k + 1, 0, 0, 0, 0, 0, 0) for k in range(1, 9)]
+    path = str(tmp_path / "log")
+    evlog.write_logs(frame(spark, stacks + slow_log(2)).select("rec").repartition(3), path)
+    batch = evlog.decode_stacks(evlog.read_logs(spark, path)).select("ts_ns", "ips")
+    stream = evlog.decode_stacks(evlog.read_logs(spark, path, stream=True)).select("ts_ns", "ips")
+    got = streaming.drain(stream, "append", str(tmp_path / "ck"), "stack_rows")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect())) == [(k, [k, k + 1]) for k in range(1, 9)]

@@ -1,3 +1,4 @@
+import ipaddress
 import random
 
 import pytest
@@ -99,3 +100,14 @@ def test_labels_and_times(spark):
     assert one(spark, S.tcp_endpoint(F.col("a"), F.col("p"), F.lit(1)), a=int.from_bytes(bytes([10, 0, 0, 7]), "little"), p=int.from_bytes(bytes([1, 187]), "little")) == "10.0.0.7:443 connect"
     assert one(spark, S.is_sse(F.col("t")), t="HTTP/1.1 200 OK\r\nContent-Type: Text/Event-Stream\r\n\r\n") is True
     assert one(spark, S.span_otel_status(F.lit("grpc"), F.col("s")), s=200) == 2
+
+
+def test_peers(spark):
+    draw = random.Random(6)
+    texts = ["::", "::1", "1::", "fe80::1", "1:0:0:2::3", "0:1::", "1:0:2:3:4:5:6:7", "10::20:0:0:1", "2001:db8::1:0:0:1", "::ffff:1.2.3.4"]
+    texts += [ipaddress.IPv6Address(b"".join(draw.choice((b"\0\0", b"\0\0", b"\0\1", draw.randbytes(2))) for _ in range(8))).compressed for _ in range(200)]
+    packed = [ipaddress.IPv6Address(t).packed for t in texts]
+    rows = spark.createDataFrame([(k, 10, bytearray(p)) for k, p in enumerate(packed)] + [(-1, 2, bytearray([127, 0, 0, 1] + [0] * 12))], "k int, family int, address binary")
+    got = {r.k: r.peer for r in rows.select("k", S.peer(F.col("family"), F.col("address"), F.lit(0x5000)).alias("peer")).collect()}
+    mapped = lambda a: f"::ffff:{a.ipv4_mapped}" if a.ipv4_mapped else a.compressed
+    assert got == {k: f"[{mapped(ipaddress.IPv6Address(p))}]:80" for k, p in enumerate(packed)} | {-1: "127.0.0.1:80"}

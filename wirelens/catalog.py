@@ -662,10 +662,17 @@ def crosscheck_unmatched(spark, sf):
     return crosscheck.unmatched(rows, crosscheck.candidates(rows, spans, 7200.0, "tgid"), "row_id").select("row_id")
 
 
-@query()
+@query(
+    f"""{_CROSS.replace("WITH ", "WITH RECURSIVE ", 1)}, n AS (SELECT r.tgid, row_id, ts, list(span_id ORDER BY total DESC, abs(e - ts), span_id) AS near FROM r JOIN s ON r.tgid = s.tgid AND abs(e - ts) <= 7200.0 GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY tgid ORDER BY ts, row_id) AS i FROM n),
+g AS (SELECT tgid, i, row_id, near[1] AS span_id, [near[1]] AS used FROM o WHERE i = 1
+  UNION ALL SELECT tgid, i, row_id, free[1], CASE WHEN len(free) > 0 THEN list_append(used, free[1]) ELSE used END
+  FROM (SELECT o.tgid, o.i, o.row_id, g.used, list_filter(o.near, lambda x: NOT list_contains(g.used, x)) AS free FROM g JOIN o ON o.tgid = g.tgid AND o.i = g.i + 1))
+SELECT row_id, span_id FROM g WHERE span_id IS NOT NULL"""
+)
 def crosscheck_greedy(spark, sf):
     rows, spans = _gateway(spark, sf)
-    return crosscheck.greedy(crosscheck.candidates(rows, spans, 7200.0, "tgid"), "tgid")
+    return crosscheck.greedy(crosscheck.candidates(rows, spans, 7200.0, "tgid"), "tgid", 7200.0)
 
 
 @query(

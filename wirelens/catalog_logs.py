@@ -240,6 +240,22 @@ def record_scalars(spark, sf):
     )
 
 
+@query(
+    f"""{M} SELECT seq, CASE k % 4 WHEN 0 THEN '10.0.0.' || k || ':443' WHEN 1 THEN '[fe80::' || format('{{:x}}', k) || ']:443' WHEN 2 THEN '[2001:db8::' || format('{{:x}}', k) || ':0:1]:443'
+  ELSE '[::ffff:10.0.0.' || k || ']:443' END AS peer FROM m"""
+)
+def peer_labels(spark, sf):
+    k, byte = F.col("k"), F.lpad(F.hex("k"), 2, "0")
+    text = (
+        F.when(k % 4 == 0, F.concat(F.lit("0A0000"), byte, F.lit("0" * 24)))
+        .when(k % 4 == 1, F.concat(F.lit("FE80" + "0" * 26), byte))
+        .when(k % 4 == 2, F.concat(F.lit("20010DB8" + "0" * 14), byte, F.lit("00000001")))
+        .otherwise(F.concat(F.lit("0" * 20 + "FFFF0A0000"), byte))
+    )
+    family = F.when(k % 4 == 0, S.IPV4).otherwise(S.IPV6)
+    return messages(spark, sf).select("seq", S.peer(family, F.unhex(text), F.lit(0xBB01)).alias("peer"))
+
+
 # --- reports and cross-check inputs ---------------------------------------------------------------------------------------
 
 

@@ -149,6 +149,30 @@ def port(dport_be: Column) -> Column:
     return F.shiftleft(value.bitwiseAND(F.lit(255)), 8) + F.shiftright(value, 8).bitwiseAND(F.lit(255))
 
 
+#: Address families.
+IPV4, IPV6 = 2, 10
+
+
+def ipv6(address: Column) -> Column:
+    """Canonical text of 16 address bytes: the first longest run of zero groups is left out, mapped IPv4 is dotted."""
+    digits = F.lower(F.hex(address))
+    groups = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.regexp_replace(digits.substr(k * 4 + 1, F.lit(4)), "^0{1,3}", ""))
+    whole = F.array_join(groups, ":")
+    shown = whole
+    for n in range(2, 9):
+        run = rf"(^|:)0(:0){{{n - 1}}}(:|$)"
+        shown = F.when(whole.rlike(run), F.regexp_replace(whole, rf"^(.*?){run}(.*)$", "$1::$5")).otherwise(shown)
+    quad = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.conv(digits.substr(k * 2 + 25, F.lit(2)), 16, 10))
+    return F.when(digits.startswith("0" * 20 + "ffff"), F.concat(F.lit("::ffff:"), F.array_join(quad, "."))).otherwise(shown)
+
+
+def peer(family: Column, address: Column, dport_be: Column) -> Column:
+    """a.b.c.d:port, or [v6]:port; IPv4 is the first four of the address bytes."""
+    quad = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.conv(F.hex(address).substr(k * 2 + 1, F.lit(2)), 16, 10))
+    host = F.when(family == IPV6, F.concat(F.lit("["), ipv6(address), F.lit("]"))).otherwise(F.array_join(quad, "."))
+    return F.concat(host, F.lit(":"), port(dport_be).cast("string"))
+
+
 def tcp_endpoint(daddr_be: Column, dport_be: Column, kind: Column) -> Column:
     return F.concat(ipv4(daddr_be), F.lit(":"), port(dport_be).cast("string"), F.lit(" "), F.when(kind == 1, "connect").otherwise("accept"))
 

@@ -30,11 +30,15 @@ def candidates(rows: DataFrame, spans: DataFrame, window: float, key: str | None
     return r.join(s, on).where(gap <= window).select("row_id", "ts", "span_id", "total", gap.alias("gap"), *([key] if key else []))
 
 
-def greedy(pairs: DataFrame, group: str) -> DataFrame:
+def greedy(pairs: DataFrame, group: str, window: float) -> DataFrame:
     """One-to-one pairs: rows in time order take the longest free candidate, then the nearest.
 
-    The order matters, so each group (rows that can't share spans with other groups) is one fold in pandas.
+    The order matters, so rows that can share spans are one fold in pandas. Rows whose times are more than two windows
+    apart can't: a group is cut there, so that a busy one is many folds.
     """
+    w = Window.partitionBy(group).orderBy("ts")
+    far = F.col("ts") - F.lag("ts").over(w) > 2 * window * (1 + 1e-9)
+    runs = pairs.withColumn("__far", F.coalesce(far, F.lit(False)).cast("long")).withColumn("__run", F.sum("__far").over(w))
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
         used, out = set(), []
@@ -46,7 +50,7 @@ def greedy(pairs: DataFrame, group: str) -> DataFrame:
                 out.append((row_id, best["span_id"]))
         return pd.DataFrame(out, columns=["row_id", "span_id"]).astype("int64")
 
-    return pairs.groupBy(group).applyInPandas(match, GREEDY)
+    return runs.groupBy(group, "__run").applyInPandas(match, GREEDY)
 
 
 def unmatched(rows: DataFrame, pairs: DataFrame, key: str) -> DataFrame:

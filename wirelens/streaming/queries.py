@@ -7,11 +7,12 @@ watermark. The router keeps a connection's state between batches with the same o
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import DEFAULT, SECOND
@@ -57,17 +58,9 @@ def idle_sessions(m: DataFrame, gap: str = "60 seconds") -> DataFrame:
     )
 
 
-def policy_violations(ops: DataFrame, rules: DataFrame) -> DataFrame:
-    """Stream against the static rules; the first rule in file order."""
-    parts = F.split("path", "/")
-    folders = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
-    kind = F.when(F.col("op") == 1, "deny_open").when(F.col("op") == 2, "deny_exec")
-    keys = F.when(F.col("op") == 1, folders).otherwise(F.array(S.basename(F.col("path"))))
-    ranked = rules.groupBy("kind").agg(F.sort_array(F.collect_list(F.struct("rule_no", "value"))).alias("rules"))
-    joined = ops.withColumn("kind", kind).withColumn("keys", keys).join(F.broadcast(ranked), "kind")
-    first = F.element_at(F.filter("rules", lambda r: F.array_contains(F.col("keys"), r["value"])), 1)
-    hit = F.exists("rules", lambda r: F.array_contains(F.col("keys"), r["value"]))
-    return joined.where(hit).select("seq", "op", "path", F.concat_ws(" ", "kind", first["value"]).alias("rule"))
+def policy_violations(ops: DataFrame, rules: DataFrame, write: Callable[[DataFrame], None]) -> DataStreamWriter:
+    """A writer that gives the violations of each micro-batch to `write`: the batch plan, whose equi-joins scan no rule list."""
+    return ops.writeStream.foreachBatch(lambda batch, _: write(policy.violations(batch, rules)))
 
 
 def routed(io: DataFrame, ttl_ns: int = DEFAULT.pair_ttl_ns) -> DataFrame:
@@ -106,4 +99,4 @@ def files(spark: SparkSession, path: str, like: DataFrame, per_batch: int = 1) -
     return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", per_batch).parquet(path)
 
 
-__all__ = ["drain", "edges", "files", "idle_sessions", "policy", "policy_violations", "rolling_endpoints", "routed", "tick_rate"]
+__all__ = ["drain", "edges", "files", "idle_sessions", "policy_violations", "rolling_endpoints", "routed", "tick_rate"]
