@@ -330,6 +330,58 @@ def test_suffixes_of_a_very_long_text(spark, work):
     assert (got[2].n_spans, bytes(got[2].kept)) == (1, (long[:300_000] + long[300_000:]).encode()) or len(passage) <= got[2].n_removed <= len(passage) + 2
 
 
+def test_shards_are_sorted_in_piles(monkeypatch):
+    """However many bytes a shard gets, a suffix array is of a bounded number, and strings in contexts of several sizes meet."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(17)
+    texts = [words(rng, 200).encode() for _ in range(40)]
+    made = [(t, i) for i, t in enumerate(texts)] + [(b"y" + texts[k % 40] + b"z", 100 + k) for k in range(400)]
+    blocks = []
+    for t, i in made:
+        n = np.array([len(t)])
+        blocks.append(suffix_dedup.Block({"ids": np.array([i]).tobytes(), "lengths": n.tobytes(), "data": t}))
+    rows = []
+    for k, (b, (t, i)) in enumerate(zip(blocks, made, strict=True)):
+        a = b.anchors
+        assert a.count.sum() == len(t) - 49  # every window has one anchor
+        for _, pile, start, size, least, _, _ in b.contexts(1, np.arange(len(a.start)), a.start, a.count):
+            rows.append((0, k, size.astype("<u2").tobytes(), pile.tobytes(), least.tobytes(), b.data[suffix_dedup.ranges(start, size)].tobytes()))
+    table = pa.table(dict(zip(("shard", "block", "sizes", "piles", "least", "data"), map(list, zip(*rows, strict=True)), strict=True)))
+    sorted_at_once, sort = [], suffix_dedup.suffix_array
+    monkeypatch.setattr(suffix_dedup, "suffix_array", lambda d, depth: sorted_at_once.append(len(d)) or sort(d, depth))
+    monkeypatch.setattr(suffix_dedup, "SORTED_BYTES", 50_000)
+    got = suffix_dedup._sources(table)
+    assert sum(map(len, table["data"].to_pylist())) > 1_000_000
+    assert max(sorted_at_once) < 60_000
+    first = {}
+    for t, i in made:
+        for w in range(len(t) - 49):
+            first.setdefault(t[w : w + 50], i)
+    for row, (_, _, sizes, _, _, data) in zip(got.to_pylist(), rows, strict=True):
+        found = np.repeat(np.frombuffer(row["sources"], np.int64), np.frombuffer(row["counts"], "<u4")).tolist()
+        low = 0
+        for n in np.frombuffer(sizes, "<u2").tolist():
+            strings = [data[low + w : low + w + 50] for w in range(n - 49)]
+            assert found[: n - 49] == [first[x] for x in strings]
+            found, low = found[n - 49 :], low + n
+
+
+def test_blocks_are_read_a_few_at_a_time(spark, work):
+    """A reader holds a whole row group, so a partition's blocks aren't one."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    docs = spark.range(32, numPartitions=1).select(F.col("id").alias("doc_id"), F.expr("repeat(sha2(string(id), 512), 8192)").alias("text"))
+    blocks = suffix_dedup.pack(docs, work)
+    files = [pq.ParquetFile(f).metadata for f in glob.glob(blocks._work_path.removeprefix("file:") + "/*.parquet")]
+    assert sum(f.num_rows for f in files) == 8
+    assert max(f.row_group(k).total_byte_size for f in files for k in range(f.num_row_groups)) < 4 * suffix_dedup.BLOCK_BYTES
+    assert max(f.row_group(k).num_rows for f in files for k in range(f.num_row_groups)) <= 3
+
+
 def test_suffix_array_is_sorted():
     import numpy as np
 

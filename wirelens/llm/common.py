@@ -47,10 +47,10 @@ class Work:
         self.written = 0
         self.live: list[str] = []
 
-    def save(self, df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
+    def save(self, df: DataFrame, label: str, compression: str = "snappy", options: dict | None = None) -> DataFrame:
         self.written += 1
         path = f"{self.root}/{self.written:03d}-{label}"
-        df.write.option("compression", compression).parquet(path)
+        df.write.options(compression=compression, **(options or {})).parquet(path)
         if not self.live:
             where, store = self._store(self.root)
             store.deleteOnExit(where)

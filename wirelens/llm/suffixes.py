@@ -186,23 +186,26 @@ def words_at(data: np.ndarray, beyond: int = 0) -> np.ndarray:
 
 
 def common_prefixes(data: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
-    """Permuted longest common prefixes, up to `depth`: by position, with the suffix before it in order."""
+    """Permuted longest common prefixes, up to `depth`: by position, with the suffix before it in order (all suffixes, or some)."""
     out = np.zeros(len(data), np.int32)
-    if len(data) < 2:
+    if len(order) < 2:
         return out
-    before = np.empty(len(data), order.dtype)
+    before = np.zeros(len(data), order.dtype)
     before[order[1:]] = order[:-1]
+    here = np.zeros(len(data), bool)
+    here[order[1:]] = True
+    every = np.flatnonzero(here).astype(order.dtype)
+    before = before[every]
     words = words_at(data, depth + 8)
-    at = np.delete(np.arange(len(data), dtype=order.dtype), order[0])
-    other = before[at]
+    at, other = every, before
     for k in range(0, depth, 8):
         differ = words[k:][at] ^ words[k:][other]
         equal = differ == 0
-        here, low = at[~equal], differ[~equal]
+        low = differ[~equal]
         # Low bytes come first: the zero bits below the lowest difference, in bytes.
-        out[here] = k + (np.bitwise_count((low & (~low + np.uint64(1))) - np.uint64(1)) >> 3)
+        out[at[~equal]] = k + (np.bitwise_count((low & (~low + np.uint64(1))) - np.uint64(1)) >> 3)
         at, other = at[equal], other[equal]
     out[at] = depth
     # Zeros beyond the end agree with nothing.
-    before[order[0]] = len(data)
-    return np.minimum(np.minimum(out, depth), len(data) - np.maximum(before, np.arange(len(data), dtype=order.dtype)))
+    out[every] = np.minimum(np.minimum(out[every], depth), len(data) - np.maximum(before, every))
+    return out
