@@ -279,6 +279,32 @@ def test_repeated_passages_leave_no_line(spark, docs, rows, work):
     assert sum(r["__n_removed"] for r in got) > sum(r["__n_removed"] for r in chunks)
 
 
+def test_passages_go_by_chunks_of_the_rolling_hash(spark, docs, rows, work, monkeypatch):
+    """The pipeline's stage removes op9's chunks by their own places; line pairs are looked for in the other lines only."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    named = docs.where("doc_id IS NOT NULL")
+    spans = {(r.doc_id, k) for r in line_dedup.lost_spans(named, work).collect() for k in range(r.low, r.high + 1)}
+    texts = {i: t for i, t in rows if i is not None}
+    want = set()
+    for r in line_dedup.lost_chunks(named, work).collect():  # op9's
+        chunks, low = line_dedup.with_chunks(spark.createDataFrame([(texts[r.doc_id],)], "text string")).first()["__chunks"], 0
+        for k, c in enumerate(chunks):
+            solid = [low + j for j, x in enumerate(c) if x.strip(" \t\n\x0b\x0c\r")]
+            want |= {(r.doc_id, j) for j in range(solid[0], solid[-1] + 1)} if k in r.gone else set()
+            low += len(c)
+    assert spans == want and len(want) > 10
+    asked, places = [], line_dedup.lost_places
+
+    def spy(d, w, rows_of, known=None):
+        asked.append((rows_of, known and {(r.doc_id, r.no) for r in known.collect()}))
+        return places(d, w, rows_of, known)
+
+    monkeypatch.setattr(line_dedup, "lost_places", spy)
+    assert corpus_pipeline.drop_repeated_lines(spark, named, "").count() == named.count()
+    assert [f for f, _ in asked] == [line_dedup.chunk_places, line_dedup.pair_rows]
+    assert asked[1][1] and asked[1][1] < spans
+
+
 def suffix_brute(rows):
     first = {}
     data = [(last(i), (t or "").encode()) for i, t in rows]

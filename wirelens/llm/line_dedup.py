@@ -7,9 +7,9 @@ is removed elsewhere, after its bytes were compared with those of the place that
 everything that occurs once, stay untouched. That is op9_line_dedup, as its SQL states it: a repeated passage whose
 lines fall into chunks of one line, or into chunks with lines of their surroundings, stays in part or whole.
 
-dedup_passages, which the pipeline uses, has no boundaries to miss a passage by: every two neighbouring lines that
-aren't blank, with the blank ones between, are a chunk. So every line of every passage of two lines or more which
-stands at an earlier place is removed. A line's text stays at its first place at least. Places that overlap the
+dedup_passages, which the pipeline uses, takes the same chunks out, and then what their boundaries miss: of the other
+lines, every two neighbouring ones that aren't blank, with the blank ones between, are looked for too, with one line in
+a removed chunk or none. So every line of every passage of two lines or more which stands at an earlier place is removed. A line's text stays at its first place at least. Places that overlap the
 first place of the same two lines (a line repeated at once) aren't repetitions.
 
 What moves: first a hash for each chunk; then, for repeated hashes only, their bytes; at last each text that
@@ -36,6 +36,11 @@ MIN_LINES = 2
 
 def with_chunks(docs: DataFrame, boundary_below: str = BOUNDARY_BELOW) -> DataFrame:
     """docs with the columns __chunks: the text's chunks in order, each an array of its lines."""
+    return _with_ends(docs, boundary_below).drop("__ends")
+
+
+def _with_ends(docs: DataFrame, boundary_below: str = BOUNDARY_BELOW) -> DataFrame:
+    """with_chunks, and __ends: the number of each chunk's last line."""
     lines = docs.withColumn("__lines", F.split("text", "\n", -1))
     hashed = lines.withColumn("__h", F.transform("__lines", lambda x: F.md5(x)))
     ends = hashed.withColumn(
@@ -52,7 +57,7 @@ def with_chunks(docs: DataFrame, boundary_below: str = BOUNDARY_BELOW) -> DataFr
             """transform(__ends, (e, k) -> slice(__lines, CASE WHEN k = 0 THEN 1 ELSE __ends[k - 1] + 2 END,
                                                  CASE WHEN k = 0 THEN e + 1 ELSE e - __ends[k - 1] END))"""
         ),
-    ).drop("__lines", "__h", "__ends")
+    ).drop("__lines", "__h")
 
 
 def chunk_rows(docs: DataFrame, *keep: str) -> DataFrame:
@@ -64,6 +69,14 @@ def chunk_rows(docs: DataFrame, *keep: str) -> DataFrame:
     return rows.select(*keep, "no", solid.alias("solid"), F.array_join("c", "\n").alias("body"))
 
 
+def chunk_places(docs: DataFrame, *keep: str) -> DataFrame:
+    """chunk_rows of MIN_LINES or more lines that aren't blank; no is the number of the chunk's first line."""
+    starts = F.expr("transform(__ends, (e, k) -> CASE WHEN k = 0 THEN 0 ELSE __ends[k - 1] + 1 END)")
+    chunks = _with_ends(docs).withColumn("__starts", starts).select(*keep, F.explode_outer(F.arrays_zip("__starts", "__chunks")).alias("c"))
+    rows = chunks.where("c IS NOT NULL").select(*keep, F.col("c.__starts").alias("no"), F.col("c.__chunks").alias("c"))
+    return rows.where(F.size(F.filter("c", lambda x: x.rlike(WORD_PATTERN))) >= MIN_LINES).select(*keep, "no", F.array_join("c", "\n").alias("body"))
+
+
 def pair_rows(docs: DataFrame, *keep: str) -> DataFrame:
     """A row for every two neighbouring lines that aren't blank: keep, no (the first one's number), body (both, and what is between)."""
     lines = docs.withColumn("__lines", F.split("text", "\n", -1))
@@ -80,10 +93,17 @@ def _place():
     return F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "fp", "no")
 
 
-def lost_places(docs: DataFrame, work: Work, rows_of: Callable[..., DataFrame]) -> DataFrame:
-    """doc_id, fp, no, body, first: the rows of rows_of(docs, ...) whose body stands at an earlier place, `first`."""
+def lost_places(docs: DataFrame, work: Work, rows_of: Callable[..., DataFrame], known: DataFrame | None = None) -> DataFrame:
+    """doc_id, fp, no, body, first: the rows of rows_of(docs, ...) whose body stands at an earlier place, `first`.
+
+    known: doc_id, fp, no of rows that are left out; none of them may be a first place.
+    """
     keyed = docs.select("doc_id", F.xxhash64("text").alias("fp"), "text")
-    marks = work.save(rows_of(keyed, "doc_id", "fp").select("doc_id", "fp", "no", F.xxhash64("body").alias("hash")).distinct(), "marks")
+    places = rows_of(keyed, "doc_id", "fp").select("doc_id", "fp", "no", F.xxhash64("body").alias("hash")).distinct()
+    if known is not None:
+        at = [F.col("p.doc_id").eqNullSafe(F.col("k.doc_id")), F.col("p.fp") == F.col("k.fp"), F.col("p.no") == F.col("k.no")]
+        places = places.alias("p").join(known.alias("k"), at, "left_anti")
+    marks = work.save(places, "marks")
     # Aggregates are written before they are joined: the join's exchanges can then be split where a key is hot.
     again = work.save(marks.groupBy("hash").count().where("count > 1").select("hash"), "again")
     wanted = marks.join(again, "hash").groupBy("doc_id", "fp").agg(F.collect_set("no").alias("nos"))
@@ -101,12 +121,23 @@ def lost_chunks(docs: DataFrame, work: Work, min_lines: int = MIN_LINES) -> Data
     return lost.groupBy("doc_id", "fp").agg(F.collect_set("no").alias("gone"))
 
 
+def lost_spans(docs: DataFrame, work: Work) -> DataFrame:
+    """doc_id, fp, low, high: the lines, from the first to the last one that isn't blank, of chunks which stand at an earlier place."""
+    solid = F.expr(f"filter(sequence(0, size(c) - 1), k -> c[k] rlike r'{WORD_PATTERN}')")
+    lost = lost_places(docs, work, chunk_places).withColumn("c", F.split("body", "\n", -1)).withColumn("s", solid)
+    return lost.select("doc_id", "fp", (F.col("no") + F.element_at("s", 1)).alias("low"), (F.col("no") + F.element_at("s", -1)).alias("high"))
+
+
 def lost_lines(docs: DataFrame, work: Work) -> DataFrame:
     """doc_id, fp, gone: the numbers of the lines that a document loses by passages which stand at an earlier place."""
+    spans = work.save(lost_spans(docs, work), "spans")
+    # Pairs inside a lost chunk are lost with it. None is a first place: the chunk's first place has the pair earlier.
+    inside = spans.select("doc_id", "fp", F.explode(F.expr("sequence(low, high - 1)")).alias("no"))
     breaks = F.length("body") - F.length(F.replace("body", F.lit("\n"), F.lit("")))
     own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("fp") == F.col("first.fp"))
-    lost = lost_places(docs, work, pair_rows).withColumn("breaks", breaks).where(~(own & (F.col("no") <= F.col("first.no") + F.col("breaks"))))
-    return lost.groupBy("doc_id", "fp").agg(F.flatten(F.collect_set(F.expr("sequence(no, no + breaks)"))).alias("gone"))
+    pairs = lost_places(docs, work, pair_rows, inside).withColumn("breaks", breaks).where(~(own & (F.col("no") <= F.col("first.no") + F.col("breaks"))))
+    lost = spans.unionByName(pairs.select("doc_id", "fp", F.col("no").alias("low"), (F.col("no") + F.col("breaks")).alias("high")))
+    return lost.groupBy("doc_id", "fp").agg(F.flatten(F.collect_set(F.expr("sequence(low, high)"))).alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, work: Work, min_lines: int = MIN_LINES) -> DataFrame:
