@@ -402,21 +402,22 @@ def _cut(buckets: int, shards: int, hole: int):
                 lost[ranges(start[mine], n)[hit] + SPAN] = 1
             np.cumsum(lost, out=lost)
             gone = lost[SPAN:] > lost[:-SPAN]
+            del lost
             ends = np.cumsum(b.lengths)
             begin = ends - b.lengths
             edge = gone.copy()  # the first byte of each span
             edge[1:] &= ~gone[:-1]
             starts = begin[b.lengths > 0]
             edge[starts] = gone[starts]
-            removed, spans = (np.concatenate([[0], np.cumsum(x)]) for x in (gone, edge))
+            removed, spans = (np.concatenate([np.zeros(1, np.int32), np.cumsum(x, dtype=np.int32)]) for x in (gone, edge))
             kept = b.data[~gone]
             place = np.append(begin - removed[begin], len(kept)).astype(np.int32)
             digests = [hashlib.sha256(kept[low:high]).hexdigest() for low, high in zip(place[:-1].tolist(), place[1:].tolist(), strict=True)]
             columns = {
                 "doc_id": pa.array(b.ids + (b.ids >= hole), mask=b.ids == LAST),
                 "n_bytes": pa.array(b.lengths),
-                "n_removed": pa.array(removed[ends] - removed[begin]),
-                "n_spans": pa.array(spans[ends] - spans[begin]),
+                "n_removed": pa.array((removed[ends] - removed[begin]).astype(np.int64)),
+                "n_spans": pa.array((spans[ends] - spans[begin]).astype(np.int64)),
                 "kept_sha256": pa.array(digests, pa.string()),
                 "kept": pa.BinaryArray.from_buffers(pa.binary(), len(b.ids), [None, pa.py_buffer(place), pa.py_buffer(kept)]),
             }
@@ -430,18 +431,18 @@ def dedup_suffixes(docs: DataFrame, work: Work) -> DataFrame:
     hole = unused_id(docs)
     blocks = pack(docs, work, hole)
     total = blocks.agg(F.sum(F.length("data"))).first()[0] or 0  # one number
-    buckets, shards = max(4, total // BUCKET_TEXT), max(4, total // SHARD_TEXT)
+    buckets, shards, tasks = max(4, total // BUCKET_TEXT), max(4, total // SHARD_TEXT), max(4, total // BLOCK_BYTES)
     offers = blocks.mapInArrow(_offers(buckets), "bucket long, block long, hashes binary, several binary").repartition(max(4, shards // 2), "bucket")
     masks = work.save(offers.groupBy("bucket").applyInArrow(_answers, "bucket long, block long, mask binary"), "masks")
-    per_block = masks.repartition(shards, "block").groupBy("block").agg(F.collect_list(F.struct("bucket", "mask")).alias("masks"))
+    per_block = masks.repartition(tasks, "block").groupBy("block").agg(F.collect_list(F.struct("bucket", "mask")).alias("masks"))
     # About a bit for every thirteen bytes of text: broadcast while a check says that it is small, else joined by a shuffle.
     if (masks.agg(F.sum(F.length("mask"))).first()[0] or 0) <= BROADCAST_BYTES:
         per_block = F.broadcast(per_block)
     marked = blocks.join(per_block, "block", "left").select("block", "ids", "lengths", "data", "masks")
     sent = marked.mapInArrow(_contexts(buckets, shards), "shard long, block long, sizes binary, piles binary, least binary, data binary").repartition(shards, "shard")
     sources = work.save(sent.groupBy("shard").applyInArrow(_sources, "shard long, block long, counts binary, sources binary"), "sources")
-    replies = sources.repartition(shards, "block").groupBy("block").agg(F.collect_list(F.struct("shard", "counts", "sources")).alias("answers"))
-    whole = blocks.repartition(shards, "block").join(per_block, "block", "left").join(replies, "block", "left").select("block", "ids", "lengths", "data", "masks", "answers")
+    replies = sources.repartition(tasks, "block").groupBy("block").agg(F.collect_list(F.struct("shard", "counts", "sources")).alias("answers"))
+    whole = blocks.repartition(tasks, "block").join(per_block, "block", "left").join(replies, "block", "left").select("block", "ids", "lengths", "data", "masks", "answers")
     return whole.mapInArrow(_cut(buckets, shards, hole), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
